@@ -16,65 +16,61 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.morton import ancestor, below, child_bit, move, neighbour
+from quadrille.functions.morton import ancestor, corner, encode, neighbour
 from quadrille.grid import Grid
 from quadrille.operators.tree import expand_masks, parents_of, split_flagged
 from quadrille.plans.staging import new_path, stage
 
 
-def _step_sql(level: int, grid: Grid) -> list[str]:
-    """Cells at ``level - 1`` that a split cell ``code`` at ``level`` asks to be split.
+def _stencil_cells(grid: Grid) -> list[list[str]]:
+    """Cells one level up that a split cell asks to be split, as cell coordinates.
 
     Of a cell's stencil neighbours, those on the inner side of its family share
     its parent; only the outward ones can ask for another cell.
     """
-    parent, low = ancestor("code", level - 1, grid), below(level, grid)
-    cells = []
-    for axes in product((0, 1), repeat=grid.dim) if level > 1 else ():
-        if 1 <= sum(axes) <= grid.dim - 1:
-            cell = parent
-            for axis in (a for a, used in enumerate(axes) if used):
-                outer, inner = (move(cell, level - 1, axis, sign, grid) for sign in (1, -1))
-                cell = f"IF((code & {1 << (low + axis)}L) <> 0L, {outer}, {inner})"
-            cells.append(cell)
-    return cells
-
-
-def _region_sql(level: int, grid: Grid) -> list[str]:
+    return [[f"shiftright({a}, 1) + {u} * (2 * ({a} & 1) - 1)" for a, u in zip(grid.axes, axes)]
+            for axes in product((0, 1), repeat=grid.dim) if 1 <= sum(axes) <= grid.dim - 1]
+
+
+def _region_cells(grid: Grid) -> list[list[str]]:
     """The stricter rule: every stencil neighbour of the parent."""
-    parent = ancestor("code", level - 1, grid)
-    return [neighbour(parent, level - 1, d, grid) for d in grid.stencil] if level > 1 else []
+    return [[f"shiftright({a}, 1) + {d}" for a, d in zip(grid.axes, direction)]
+            for direction in grid.stencil]
 
 
-_RULES = {"stencil": _step_sql, "region": _region_sql}
+_RULES = {"stencil": _stencil_cells, "region": _region_cells}
 
 
-def _asked(level: int, grid: Grid, rule: str) -> list[str]:
-    """Rows ``(code, mask)`` a split cell sends up: its parent with its bit, and the rest."""
-    rows = [(ancestor("code", level - 1, grid), child_bit("code", level, grid))]
-    rows += [(cell, "0") for cell in _RULES[rule](level, grid)]
-    return [f"named_struct('code', {code}, 'mask', {mask})" for code, mask in rows]
+def _asked(grid: Grid, rule: str, extra: str = "") -> str:
+    """Rows a split cell sends up: its parent with its own bit, and the cells it asks for."""
+    parent = [f"shiftright({a}, 1)" for a in grid.axes]
+    bit = " | ".join(f"shiftleft({a} & 1, {k})" for k, a in enumerate(grid.axes))
+    rows = [(parent, f"shiftleft(1, {bit})")] + [(c, "0") for c in _RULES[rule](grid)]
+    return ", ".join(
+        "named_struct('level', level - 1, "
+        + ", ".join(f"'{a}', {v}" for a, v in zip(grid.axes, cell)) + f", 'mask', {mask}{extra})"
+        for cell, mask in rows)
 
 
-def _sweep_step(split: DataFrame, level: int, grid: Grid, rule: str) -> DataFrame:
-    """What the split cells of ``level`` ask of ``level - 1``."""
-    rows = ", ".join(_asked(level, grid, rule))
-    return split.selectExpr(f"inline(array({rows}))").filter("code IS NOT NULL")
+def _merge(rows: DataFrame, grid: Grid, *keys: str) -> DataFrame:
+    """Drop cells outside the domain and combine the rest."""
+    inside = " AND ".join(f"{a} BETWEEN 0 AND shiftleft(1, level) - 1" for a in grid.axes)
+    return rows.filter(inside).groupBy("level", *grid.axes, *keys).agg(F.bit_or("mask").alias("mask"))
 
 
 def _chain(rows: DataFrame, top: int, grid: Grid, rule: str) -> DataFrame:
-    """Sweep ``rows(code, level, mask)`` from ``top`` to the root as one plan."""
-    me = "named_struct('code', code, 'level', level, 'mask', mask)"
-    for k in range(top, 0, -1):
-        cells = _asked(k, grid, rule)
-        steps = ", ".join(f"named_struct('code', asked[{i}].code, 'level', {k - 1}, "
-                          f"'mask', asked[{i}].mask)" for i in range(len(cells)))
-        asked = ", ".join(cells)
-        rows = rows.selectExpr("*", f"IF(level = {k}, array({asked}), NULL) AS asked") \
-            .selectExpr(f"inline(IF(level = {k}, array({me}, {steps}), array({me})))") \
-            .filter("code IS NOT NULL") \
-            .groupBy("code", "level").agg(F.bit_or("mask").alias("mask"))
-    return rows
+    """Sweep ``rows`` from level ``top`` to the root as one plan.
+
+    The level whose turn it is travels as a column, so every pass generates the
+    same code and compiles once.
+    """
+    me = "named_struct('level', level, " + ", ".join(f"'{a}', {a}" for a in grid.axes) \
+        + ", 'mask', mask, 'turn', turn - 1)"
+    step = f"inline(IF(level = turn, array({me}, {_asked(grid, rule, ', \'turn\', turn - 1')}), array({me})))"
+    rows = rows.withColumn("turn", F.lit(top))
+    for _ in range(top):
+        rows = _merge(rows.selectExpr(step), grid, "turn")
+    return rows.drop("turn")
 
 
 def balance(leaves: DataFrame, grid: Grid, rule: str = "stencil",
@@ -90,33 +86,37 @@ def balance(leaves: DataFrame, grid: Grid, rule: str = "stencil",
     ``rule="region"`` applies the stricter rule under which a cell also splits
     for deep cells of a neighbour region that do not touch it.
 
-    Large levels are written one by one.  Once the levels that remain hold no
-    more than ``chain_rows`` families, they are swept together in one plan.
+    Cells are held by their own coordinates during the sweep and encoded once at
+    the end.  Large levels are written one by one; once the levels that remain
+    hold no more than ``chain_rows`` families, they are swept in one plan.
     """
     spark = leaves.sparkSession
-    base = stage(parents_of(leaves, grid), "families", partition_by=["level"])
+    coords = [f"CAST(shiftright({c}, {grid.max_level} - level) AS INT) AS {a}"
+              for a, c in zip(grid.axes, corner("code", grid))]
+    base = stage(parents_of(leaves, grid).selectExpr("level", *coords, "0 AS mask"), "families",
+                 partition_by=["level"])
     sizes = {r["level"]: r["count"] for r in base.groupBy("level").count().collect()}
-    untouched = leaves.filter(F.col("level") == 0).select("code", "level")
+    untouched = leaves.filter("level = 0").select("code", "level")
     if not sizes:
         return untouched
+    columns = ["level", *grid.axes, "mask"]
+    schema = ", ".join(f"{c} INT" for c in [*grid.axes, "mask", "level"])
     path = new_path(spark, "splits")
-    schema = "code BIGINT, mask INT, level INT"
     level, split = max(sizes), None
     while sum(n for k, n in sizes.items() if k <= level) > chain_rows:
-        rows = base.filter(F.col("level") == level).select("code", F.lit(0).alias("mask"))
+        rows = base.filter(F.col("level") == level).select(*columns)
         if split is not None:
-            rows = rows.unionByName(_sweep_step(split, level + 1, grid, rule))
-        rows.groupBy("code").agg(F.bit_or("mask").alias("mask"), F.lit(level).alias("level")) \
-            .write.mode("append").partitionBy("level").parquet(path)
-        split = spark.read.schema(schema).parquet(path).filter(F.col("level") == level) \
-            .select("code", "mask")
+            rows = rows.unionByName(split.selectExpr(f"inline(array({_asked(grid, rule)}))"))
+        _merge(rows, grid).write.mode("append").partitionBy("level").parquet(path)
+        split = spark.read.schema(schema).parquet(path).filter(F.col("level") == level).select(*columns)
         level -= 1
-    rest = base.filter(F.col("level") <= level).select("code", "level", F.lit(0).alias("mask"))
+    rest = base.filter(F.col("level") <= level).select(*columns)
     if split is not None:
-        asked = _sweep_step(split, level + 1, grid, rule).select("code", F.lit(level).alias("level"), "mask")
-        rest = rest.unionByName(asked).groupBy("code", "level").agg(F.bit_or("mask").alias("mask"))
+        rest = _merge(rest.unionByName(split.selectExpr(f"inline(array({_asked(grid, rule)}))")), grid)
     _chain(rest, level, grid, rule).write.mode("append").partitionBy("level").parquet(path)
-    splits = spark.read.schema(schema).parquet(path).select("code", "level", "mask")
+    code = encode([f"shiftleft(CAST({a} AS BIGINT), {grid.max_level} - level)" for a in grid.axes],
+                  max(grid.max_level, 1))
+    splits = spark.read.schema(schema).parquet(path).selectExpr(f"{code} AS code", "level", "mask")
     return expand_masks(splits, grid).unionByName(untouched)
 
 

@@ -27,12 +27,8 @@ def assign_parts(leaves: DataFrame, parts: int) -> DataFrame:
 
 
 def repartition(leaves: DataFrame, parts: int) -> DataFrame:
-    """Leaves physically divided in ``parts`` runs of the code order, sorted inside each.
-
-    Each run is one partition: range partitioning on the run number with one
-    distinct value per range.
-    """
-    return assign_parts(leaves, parts).repartitionByRange(parts, "part") \
+    """Leaves physically divided in ``parts`` runs of the code order, sorted inside each."""
+    return assign_parts(leaves, parts).repartitionById(parts, "part") \
         .sortWithinPartitions("code").drop("part")
 
 
