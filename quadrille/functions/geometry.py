@@ -1,6 +1,7 @@
-"""Element geometry as SQL text over a column ``p`` of vertex positions.
+"""Element geometry as SQL text over vertex coordinates ``x0, y0, z0, x1, ...``.
 
-``p`` is an ``ARRAY<STRUCT<x, y, z>>`` in the element's node order.
+The columns follow the element's node order; shapes with fewer vertices leave
+the last ones NULL.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from quadrille.operators.shapes import H8, P5, Q4, T3, T4, W6, case, shape
 Vec = tuple[str, str, str]
 
 
-def at(i: int, column: str = "p") -> Vec:
-    return tuple(f"{column}[{i}].{c}" for c in "xyz")
+def at(i: int) -> Vec:
+    return (f"x{i}", f"y{i}", f"z{i}")
 
 
 def sub(a: Vec, b: Vec) -> Vec:
@@ -47,9 +48,9 @@ def _hex_volume(v: list[Vec]) -> str:
     return f"(({total}) / 12.0D)"
 
 
-def signed_measure(dim: int, column: str = "p") -> str:
+def signed_measure(dim: int) -> str:
     """Signed area or volume by shape; a wedge is a hexahedron with two edges collapsed."""
-    v = [at(i, column) for i in range(8)]
+    v = [at(i) for i in range(8)]
     if dim == 2:
         return case({
             T3: f"(0.5D * {cross(sub(v[1], v[0]), sub(v[2], v[0]))[2]})",
@@ -61,20 +62,20 @@ def signed_measure(dim: int, column: str = "p") -> str:
         W6: _hex_volume([v[0], v[1], v[2], v[2], v[3], v[4], v[5], v[5]])})
 
 
-def measure(dim: int, column: str = "p") -> str:
+def measure(dim: int) -> str:
     """Unsigned measure; tetrahedra by cofactors of the edge matrix, in that order."""
     if dim == 2:
-        return f"abs({signed_measure(2, column)})"
-    v = [at(i, column) for i in range(4)]
+        return f"abs({signed_measure(2)})"
+    v = [at(i) for i in range(4)]
     u, w, t = (sub(v[i], v[0]) for i in (1, 2, 3))
     cof = (f"{u[0]} * ({w[1]} * {t[2]} - {w[2]} * {t[1]}) - {u[1]} * ({w[0]} * {t[2]} - {w[2]} * {t[0]})"
            f" + {u[2]} * ({w[0]} * {t[1]} - {w[1]} * {t[0]})")
-    return f"IF(shape = {T4}, abs({cof}) / 6.0D, abs({signed_measure(3, column)}))"
+    return f"IF(shape = {T4}, abs({cof}) / 6.0D, abs({signed_measure(3)}))"
 
 
-def length(dim: int, column: str = "p") -> str:
+def length(dim: int) -> str:
     """Characteristic length of an element."""
-    return f"pow({measure(dim, column)}, {1.0 / dim!r}D)"
+    return f"pow({measure(dim)}, {1.0 / dim!r}D)"
 
 
 def _edges2(vs: list[Vec]) -> str:
@@ -87,9 +88,9 @@ def tet_quality(vs: list[Vec]) -> str:
     return f"(12.0D * pow(3.0D * abs({tet_volume(*vs)}), {2 / 3!r}D) / {_edges2(vs)})"
 
 
-def quality(column: str = "p") -> str:
+def quality() -> str:
     """Mean-ratio quality of triangles and tetrahedra, NULL for other shapes."""
-    v = [at(i, column) for i in range(4)]
+    v = [at(i) for i in range(4)]
     area = f"abs(0.5D * {cross(sub(v[1], v[0]), sub(v[2], v[0]))[2]})"
     return case({T3: f"({4.0 * 3 ** 0.5!r}D * {area} / {_edges2(v[:3])})", T4: tet_quality(v)})
 
@@ -98,12 +99,21 @@ def quality(column: str = "p") -> str:
 SPLIT_TIE = 1e-9
 
 
-def split_qualities(column: str = "p") -> list[str]:
-    """Worst child quality of each way to split a tetrahedron, from its ten local points."""
-    return [f"least({', '.join(tet_quality([at(i, column) for i in nodes]) for _, nodes in choice)})"
+def split_qualities() -> list[str]:
+    """Worst child quality of each way to split a tetrahedron, from its ten local points.
+
+    Points 4 to 9 are the added edge midpoints; see :func:`midpoints`.
+    """
+    return [f"least({', '.join(tet_quality([at(i) for i in nodes]) for _, nodes in choice)})"
             for choice in shape(T4).choices]
 
 
+def midpoints() -> list[str]:
+    """The midpoints a tetrahedron's refinement adds, as columns ``x4 ... z9``."""
+    return [f"0.5D * {c}{a} + 0.5D * {c}{b} AS {c}{i}"
+            for i, (a, b) in enumerate(shape(T4).new_nodes, start=4) for c in "xyz"]
+
+
 def split_choice(q: list[str]) -> str:
     """Index of the best split; near ties go to the earliest."""
     over = f"{1 + SPLIT_TIE!r}D"

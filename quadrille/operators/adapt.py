@@ -57,7 +57,7 @@ def element_growth(dim: int) -> str:
 
 def element_lengths(mesh: Mesh) -> DataFrame:
     """``elem_id, length``: measure to the power 1 / dim."""
-    return with_positions(mesh.elements, mesh.nodes).selectExpr(
+    return with_positions(mesh.elements, mesh.nodes, mesh.dim).selectExpr(
         "elem_id", f"{length(mesh.dim)} AS length")
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.geometry import split_choice, split_qualities
+from quadrille.functions.geometry import midpoints, split_choice, split_qualities
 from quadrille.operators.shapes import T4, case, of_dim, shapes
 from quadrille.plans.prefix import dense_ids
 from quadrille.plans.staging import stage
@@ -66,12 +66,18 @@ def mesh_of(spark: SparkSession, dim: int, nodes: list, elements: list,
 # --- gathering ----------------------------------------------------------------
 
 
-def with_positions(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``p``, the vertex positions in node order."""
-    vertices = elements.select("elem_id", F.posexplode("con").alias("k", "node_id"))
-    p = vertices.join(nodes, "node_id").groupBy("elem_id").agg(
-        F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("p"))
-    return elements.join(p, "elem_id")
+def with_positions(elements: DataFrame, nodes: DataFrame, dim: int,
+                   vertices: int | None = None) -> DataFrame:
+    """Add the vertex coordinates ``x0, y0[, z0], x1, ...`` in node order.
+
+    Coordinates are picked by an ordinary aggregation with one fixed-size
+    buffer per element; nothing is collected into lists.
+    """
+    n = vertices or max(s.vertices for s in of_dim(dim))
+    rows = elements.select("elem_id", F.posexplode("con").alias("k", "node_id")).join(nodes, "node_id")
+    picked = rows.groupBy("elem_id").agg(*[
+        F.expr(f"max(IF(k = {i}, {c}, NULL)) AS {c}{i}") for i in range(n) for c in "xyz"[:dim]])
+    return elements.join(picked, "elem_id")
 
 
 def incidence(elements: DataFrame) -> DataFrame:
@@ -225,13 +231,9 @@ def _children(dim: int) -> str:
 
 def with_split_choice(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``choice``: how each tetrahedron is split (0 for other shapes)."""
-    tets = with_positions(elements.filter(F.col("shape") == T4).select("elem_id", "con"), nodes)
-    middle = ", ".join(
-        "named_struct(" + ", ".join(f"'{c}', 0.5D * p[{a}].{c} + 0.5D * p[{b}].{c}" for c in "xyz") + ")"
-        for a, b in shapes()[T4].new_nodes)
-    corners = ", ".join(f"named_struct('x', p[{i}].x, 'y', p[{i}].y, 'z', p[{i}].z)" for i in range(4))
-    qualities = tets.selectExpr("elem_id", f"array({corners}, {middle}) AS q") \
-        .selectExpr("elem_id", *[f"{q} AS q{i}" for i, q in enumerate(split_qualities("q"))])
+    tets = with_positions(elements.filter(F.col("shape") == T4).select("elem_id", "con"), nodes, 3, 4)
+    qualities = tets.selectExpr("*", *midpoints()) \
+        .selectExpr("elem_id", *[f"{q} AS q{i}" for i, q in enumerate(split_qualities())])
     chosen = qualities.selectExpr("elem_id", f"{split_choice(['q0', 'q1', 'q2'])} AS choice")
     return elements.join(chosen, "elem_id", "left").withColumn(
         "choice", F.coalesce("choice", F.lit(0)))
