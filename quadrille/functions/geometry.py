@@ -6,6 +6,8 @@ the last ones NULL.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from quadrille.operators.shapes import H8, P5, Q4, T3, T4, W6, case, shape
 
 Vec = tuple[str, str, str]
@@ -19,10 +21,6 @@ def sub(a: Vec, b: Vec) -> Vec:
     return tuple(f"({x} - {y})" for x, y in zip(a, b))
 
 
-def add(a: Vec, b: Vec) -> Vec:
-    return tuple(f"({x} + {y})" for x, y in zip(a, b))
-
-
 def dot(a: Vec, b: Vec) -> str:
     return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
 
@@ -39,43 +37,55 @@ def tet_volume(a: Vec, b: Vec, c: Vec, d: Vec) -> str:
     return f"({triple(sub(b, a), sub(c, a), sub(d, a))} / 6.0D)"
 
 
-def _hex_volume(v: list[Vec]) -> str:
-    """Exact volume of a trilinear hexahedron from three triple products."""
-    x = [v[i] for i in (0, 1, 3, 2, 4, 5, 7, 6)]  # bit order: x, y, z
-    a, b, c = sub(x[7], x[1]), sub(x[6], x[0]), sub(x[7], x[2])
-    d, e, f = sub(x[3], x[0]), sub(x[5], x[0]), sub(x[7], x[4])
-    total = " + ".join([triple(add(a, b), c, d), triple(b, add(c, e), f), triple(a, e, add(f, d))])
-    return f"(({total}) / 12.0D)"
+# Which vertices stand at the eight corners of a hexahedron, in bit order x, y, z:
+# the other shapes are hexahedra with corners collapsed.
+_CORNERS = {
+    H8: (0, 1, 3, 2, 4, 5, 7, 6),
+    W6: (0, 1, 2, 2, 3, 4, 5, 5),
+    P5: (0, 1, 3, 2, 4, 4, 4, 4),
+}
 
 
-def signed_measure(dim: int) -> str:
-    """Signed area or volume by shape; a wedge is a hexahedron with two edges collapsed."""
-    v = [at(i) for i in range(8)]
-    if dim == 2:
-        return case({
-            T3: f"(0.5D * {cross(sub(v[1], v[0]), sub(v[2], v[0]))[2]})",
-            Q4: f"(0.5D * {cross(sub(v[2], v[0]), sub(v[3], v[1]))[2]})"})
-    pyramid = " + ".join(tet_volume(*(v[i] for i in t))
-                         for t in ((0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 3, 4), (1, 2, 3, 4)))
-    return case({
-        T4: tet_volume(*v[:4]), P5: f"(0.5D * ({pyramid}))", H8: _hex_volume(v),
-        W6: _hex_volume([v[0], v[1], v[2], v[2], v[3], v[4], v[5], v[5]])})
-
-
-def measure(dim: int) -> str:
-    """Unsigned measure; tetrahedra by cofactors of the edge matrix, in that order."""
-    if dim == 2:
-        return f"abs({signed_measure(2)})"
-    v = [at(i) for i in range(4)]
-    u, w, t = (sub(v[i], v[0]) for i in (1, 2, 3))
-    cof = (f"{u[0]} * ({w[1]} * {t[2]} - {w[2]} * {t[1]}) - {u[1]} * ({w[0]} * {t[2]} - {w[2]} * {t[0]})"
-           f" + {u[2]} * ({w[0]} * {t[1]} - {w[1]} * {t[0]})")
-    return f"IF(shape = {T4}, abs({cof}) / 6.0D, abs({signed_measure(3)}))"
+def _planar_measure() -> str:
+    return case({T3: "0.5D * ((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0))",
+                 Q4: "0.5D * ((x2 - x0) * (y3 - y1) - (y2 - y0) * (x3 - x1))"})
 
 
-def length(dim: int) -> str:
-    """Characteristic length of an element."""
-    return f"pow({measure(dim)}, {1.0 / dim!r}D)"
+def _cofactor_volume() -> str:
+    """Tetrahedron volume by cofactors of the edge matrix, in a fixed order of terms."""
+    u, w, t = (sub(at(i), at(0)) for i in (1, 2, 3))
+    return (f"abs({u[0]} * ({w[1]} * {t[2]} - {w[2]} * {t[1]}) - {u[1]} * ({w[0]} * {t[2]} - {w[2]} * {t[0]})"
+            f" + {u[2]} * ({w[0]} * {t[1]} - {w[1]} * {t[0]})) / 6.0D")
+
+
+def with_measures(elements: DataFrame, dim: int) -> DataFrame:
+    """Add ``signed_measure``, ``measure`` and ``length`` to elements with coordinates.
+
+    Every trilinear solid is one formula of three triple products over its
+    eight (possibly coinciding) corners.  It is evaluated in three projections,
+    so that the generated code stays small enough to be compiled to machine code.
+    """
+    names = elements.columns
+    if dim == 2:
+        signed = elements.selectExpr("*", f"{_planar_measure()} AS signed_measure")
+        out = signed.selectExpr("*", "abs(signed_measure) AS measure")
+        return out.selectExpr("*", "sqrt(measure) AS length")
+    corners = [f"{case({s: f'{c}{m[i]}' for s, m in _CORNERS.items()})} AS c{c}{i}"
+               for i in range(8) for c in "xyz"]
+    edges = {"a": ("71",), "b": ("60",), "c": ("72",), "d": ("30",), "e": ("50",), "f": ("74",),
+             "ab": ("71", "60"), "ce": ("72", "50"), "fd": ("74", "30")}
+    spans = [" + ".join(f"c{c}{p[0]} - c{c}{p[1]}" for p in pairs) + f" AS {n}{c}"
+             for n, pairs in edges.items() for c in "xyz"]
+
+    def vec(n: str) -> Vec:
+        return tuple(f"{n}{c}" for c in "xyz")
+
+    solid = " + ".join(triple(*map(vec, t)) for t in (("ab", "c", "d"), ("b", "ce", "f"), ("a", "e", "fd")))
+    tet = tet_volume(*(at(i) for i in range(4)))
+    out = elements.selectExpr(*names, *corners).selectExpr(*names, *spans) \
+        .selectExpr(*names, f"IF(shape = {T4}, {tet}, ({solid}) / 12.0D) AS signed_measure")
+    out = out.selectExpr("*", f"IF(shape = {T4}, {_cofactor_volume()}, abs(signed_measure)) AS measure")
+    return out.selectExpr("*", f"pow(measure, {1 / 3!r}D) AS length")
 
 
 def _edges2(vs: list[Vec]) -> str:

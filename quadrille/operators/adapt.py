@@ -9,7 +9,7 @@ from enum import IntEnum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.geometry import length
+from quadrille.functions.geometry import with_measures
 from quadrille.operators.marking import Marking, Params, Status, mark
 from quadrille.operators.mesh import Mesh, Refinement, closure, refine, validate, with_positions
 from quadrille.operators.shapes import case, of_dim
@@ -57,8 +57,8 @@ def element_growth(dim: int) -> str:
 
 def element_lengths(mesh: Mesh) -> DataFrame:
     """``elem_id, length``: measure to the power 1 / dim."""
-    return with_positions(mesh.elements, mesh.nodes, mesh.dim).selectExpr(
-        "elem_id", f"{length(mesh.dim)} AS length")
+    return with_measures(with_positions(mesh.elements, mesh.nodes, mesh.dim), mesh.dim) \
+        .select("elem_id", "length")
 
 
 def _added(elements: DataFrame, listed: DataFrame, dim: int) -> float:

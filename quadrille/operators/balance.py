@@ -96,9 +96,8 @@ def balance(leaves: DataFrame, grid: Grid, rule: str = "stencil",
     base = stage(parents_of(leaves, grid).selectExpr("level", *coords, "0 AS mask"), "families",
                  partition_by=["level"])
     sizes = {r["level"]: r["count"] for r in base.groupBy("level").count().collect()}
-    untouched = leaves.filter("level = 0").select("code", "level")
-    if not sizes:
-        return untouched
+    if not sizes:  # nothing above any leaf: the tree is its root
+        return leaves.select("code", "level")
     columns = ["level", *grid.axes, "mask"]
     schema = ", ".join(f"{c} INT" for c in [*grid.axes, "mask", "level"])
     path = new_path(spark, "splits")
@@ -117,7 +116,7 @@ def balance(leaves: DataFrame, grid: Grid, rule: str = "stencil",
     code = encode([f"shiftleft(CAST({a} AS BIGINT), {grid.max_level} - level)" for a in grid.axes],
                   max(grid.max_level, 1))
     splits = spark.read.schema(schema).parquet(path).selectExpr(f"{code} AS code", "level", "mask")
-    return expand_masks(splits, grid).unionByName(untouched)
+    return expand_masks(splits, grid)
 
 
 def requirements(leaves: DataFrame, grid: Grid) -> DataFrame:

@@ -19,15 +19,12 @@ _DIRECTORY_LEVEL = {2: 7, 3: 5}
 
 
 def level_directory(leaves: DataFrame, grid: Grid) -> DataFrame:
-    """``(slot, levels)``: leaf levels present in each coarse cell, as a bit set."""
+    """``(slot, levels)``: the leaf levels present in each coarse cell."""
     depth = min(_DIRECTORY_LEVEL[grid.dim], grid.max_level)
-    shift = below(depth, grid)
-    first = f"shiftright(code, {shift})"
+    first = f"shiftright(code, {below(depth, grid)})"
     spare = f"~shiftleft(-1L, greatest({depth} - level, 0) * {grid.dim})"
-    return leaves.selectExpr(
-        "shiftleft(1L, level) AS bit",
-        f"explode(sequence({first}, {first} | ({spare}))) AS slot",
-    ).groupBy("slot").agg(F.bit_or("bit").alias("levels"))
+    return leaves.selectExpr("level", f"explode(sequence({first}, {first} | ({spare}))) AS slot") \
+        .groupBy("slot").agg(F.collect_set("level").alias("levels"))
 
 
 def candidates(points: DataFrame, leaves: DataFrame, grid: Grid) -> DataFrame:
@@ -36,8 +33,7 @@ def candidates(points: DataFrame, leaves: DataFrame, grid: Grid) -> DataFrame:
     directory = F.broadcast(level_directory(leaves, grid))
     tried = points.withColumn("slot", F.expr(f"shiftright(code, {below(depth, grid)})")) \
         .join(directory, "slot")
-    levels = f"filter(sequence(0, {grid.max_level}), l -> (shiftright(levels, l) & 1L) = 1L)"
-    return tried.selectExpr(*points.columns, f"explode({levels}) AS leaf_level") \
+    return tried.selectExpr(*points.columns, "explode(levels) AS leaf_level") \
         .withColumn("leaf_code", F.expr(ancestor("code", "leaf_level", grid)))
 
 

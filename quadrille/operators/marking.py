@@ -166,14 +166,13 @@ class ScalarField:
 
     def coarsen(self, leaves: DataFrame) -> DataFrame:
         """Merge complete families whose worst error is within the coarsening cutoff."""
-        known = leaves.filter("level > 0").join(
+        known = leaves.join(
             self.errors.select("code", "level", "error"), ["code", "level"], "left")
         groups = families(known, self.grid, F.max("error").alias("worst"),
                           F.count("error").alias("known"))
         merged = (F.col("mask") == self.grid.full_mask) & (F.col("known") == self.grid.children) \
             & (F.col("level") >= self.coarse_level) & (F.col("worst") <= F.lit(self.coarsen_cutoff))
-        return emit_families(groups, self.grid, merged).unionByName(
-            leaves.filter("level = 0").select("code", "level"))
+        return emit_families(groups, self.grid, merged)
 
 
 def scalar_field(errors: DataFrame, grid: Grid, theta_refine: float, theta_coarsen: float,

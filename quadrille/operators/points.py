@@ -11,8 +11,15 @@ from quadrille.operators.tree import leaves_of
 
 
 def encode_points(points: DataFrame, grid: Grid) -> DataFrame:
-    """Add the ``code`` of the deepest cell that holds each point."""
-    return points.withColumn("code", F.expr(encode(list(grid.axes), max(grid.max_level, 1))))
+    """Add the ``code`` of the deepest cell that holds each point.
+
+    Points without a coordinate lie nowhere and are dropped here.  The code is
+    then never NULL, which keeps Catalyst from repeating the whole encoding in
+    the null filters of later joins.
+    """
+    known = points.filter(" AND ".join(f"{a} IS NOT NULL" for a in grid.axes))
+    code = encode(list(grid.axes), max(grid.max_level, 1))
+    return known.withColumn("code", F.expr(f"coalesce({code}, -1L)"))
 
 
 def crowded_cells(points: DataFrame, grid: Grid, capacity: int) -> DataFrame:

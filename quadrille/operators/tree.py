@@ -136,8 +136,11 @@ def internal_of(leaves: DataFrame, grid: Grid) -> DataFrame:
 
 
 def families(leaves: DataFrame, grid: Grid, *extra: Column) -> DataFrame:
-    """Parents with the set of their leaf children as a bit mask."""
-    rows = leaves.filter("level > 0").selectExpr(
+    """Parents with the set of their leaf children as a bit mask.
+
+    A tree of one leaf counts as an incomplete family above the root.
+    """
+    rows = leaves.selectExpr(
         "*", f"{child_bit('code', 'level', grid)} AS bit",
         f"{ancestor('code', 'level - 1', grid)} AS parent")
     return rows.groupBy(F.col("parent").alias("code"), (F.col("level") - 1).alias("level")) \
@@ -166,8 +169,7 @@ def coarsen(leaves: DataFrame, grid: Grid, keep: Oracle) -> DataFrame:
     if keep.coords:
         groups = with_corner(groups, grid)
     merged = (F.col("mask") == grid.full_mask) & ~keep.splits(grid)
-    return emit_families(groups, grid, merged).unionByName(
-        leaves.filter("level = 0").select("code", "level"))
+    return emit_families(groups, grid, merged)
 
 
 def level_histogram(leaves: DataFrame) -> DataFrame:

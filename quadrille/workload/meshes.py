@@ -161,23 +161,19 @@ _REFERENCE = {
 }
 
 
-def _coordinate(v: int, axis: int, ref: int) -> str:
-    k = 3 * v + axis
-    return f"CAST({8 * ref} + (l_orderkey * {7 * k + 3} + l_partkey * {5 * k + 1} + l_linenumber * {k}) % 3 AS DOUBLE)"
+def _int_div(a: str, b: int, duck: bool) -> str:
+    return f"{a} // {b}" if duck else f"{a} DIV {b}"
 
 
-def _vertex(v: int, dim: int, point) -> tuple[str, str, str]:
-    return tuple(_coordinate(v, a, r) if a < dim else "CAST(0 AS DOUBLE)" for a, r in enumerate(point))
-
-
-def _vertex_columns(dim: int, codes: list[int], pick: str) -> list[str]:
-    """Vertex coordinates by shape; valid in both SQL dialects."""
+def _vertex_columns(dim: int, codes: list[int], duck: bool) -> list[str]:
+    """Vertex coordinates by shape: the reference element, eight times as large, shaken by the row."""
     out = []
     for v in range(max(len(_REFERENCE[c]) for c in codes)):
         for a, name in enumerate("xyz"):
-            whens = " ".join(f"WHEN {i} THEN {_vertex(v, dim, _REFERENCE[c][v])[a]}"
-                             for i, c in enumerate(codes) if v < len(_REFERENCE[c]))
-            out.append(f"CASE {pick} {whens} END AS {name}{v}")
+            values = ", ".join(str(8 * _REFERENCE[c][v][a]) if v < len(_REFERENCE[c]) else "NULL" for c in codes)
+            base = f"[{values}][s + 1]" if duck else f"get(array({values}), s)"
+            shake = f"({_int_div('h', 3 * v + a + 1, duck)}) % 3" if a < dim else "0"
+            out.append(f"CAST({base} + {shake} AS DOUBLE) AS {name}{v}")
     return out
 
 
@@ -186,18 +182,19 @@ def _shape_column(codes: list[int], pick: str) -> str:
     return f"CAST(CASE {pick} {whens} END AS INT) AS shape"
 
 
-def _line_columns(dim: int, codes: list[int]) -> list[str]:
-    pick = f"l_linenumber % {len(codes)}"
-    return ["l_orderkey * 8 + l_linenumber AS elem_id", _shape_column(codes, pick),
-            *_vertex_columns(dim, codes, pick)]
+def _row_columns(codes: list[int]) -> list[str]:
+    return ["l_orderkey * 8 + l_linenumber AS elem_id", f"l_linenumber % {len(codes)} AS s", _shape_column(codes, f"l_linenumber % {len(codes)}"),
+            "l_orderkey * 7 + l_partkey * 5 + l_linenumber AS h"]
 
 
 def _line_elements(spark: SparkSession, sf: str, dim: int, codes: list[int]) -> DataFrame:
-    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_line_columns(dim, codes))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_row_columns(codes))
+    return rows.selectExpr("elem_id", "shape", *_vertex_columns(dim, codes, duck=False))
 
 
 def _duck_elements(dim: int, codes: list[int]) -> str:
-    return f"lp AS (SELECT {', '.join(_line_columns(dim, codes))} FROM lineitem)"
+    return (f"lr AS (SELECT {', '.join(_row_columns(codes))} FROM lineitem), "
+            f"lp AS (SELECT elem_id, shape, {', '.join(_vertex_columns(dim, codes, duck=True))} FROM lr)")
 
 
 def _duck_tet(a, b, c, d) -> str:
@@ -248,9 +245,8 @@ def _geometry(dim: int, codes: list[int]) -> None:
            f"round(pow(abs(s), {1.0 / dim!r}::DOUBLE), 6) AS length FROM m")
     def measure(spark, sf):
         rows = _line_elements(spark, sf, dim, codes)
-        both = rows.selectExpr("elem_id", "shape", f"{geo.signed_measure(dim)} AS s", f"{geo.measure(dim)} AS m")
-        return both.selectExpr("elem_id", "shape", "round(s, 6) AS signed_measure", "round(m, 6) AS measure",
-                               f"round(pow(m, {1.0 / dim!r}D), 6) AS length")
+        return geo.with_measures(rows, dim).selectExpr(
+            "elem_id", "shape", *[f"round({c}, 6) AS {c}" for c in ("signed_measure", "measure", "length")])
 
     simplex = S.T3 if dim == 2 else S.T4
 
@@ -437,8 +433,9 @@ def _meshes(dim: int) -> None:
            + ") SELECT count(*) AS elements, round(sum(m), 6) AS measure, round(min(m), 9) AS smallest FROM ms")
     def total_measure(spark, sf):
         mesh = cycle(spark, sf, dim, 1)[0].refinement.mesh
-        rows = U.with_positions(mesh.elements, mesh.nodes, dim).selectExpr(f"{geo.measure(dim)} AS m")
-        return rows.selectExpr("count(1) AS elements", "round(sum(m), 6) AS measure", "round(min(m), 9) AS smallest")
+        rows = geo.with_measures(U.with_positions(mesh.elements, mesh.nodes, dim), dim)
+        return rows.selectExpr("count(1) AS elements", "round(sum(measure), 6) AS measure",
+                               "round(min(measure), 9) AS smallest")
 
 
 def _edge_determinant(dim: int) -> str:
