@@ -63,14 +63,15 @@ def with_measures(elements: DataFrame, dim: int) -> DataFrame:
 
     Every trilinear solid is one formula of three triple products over its
     eight (possibly coinciding) corners.  It is evaluated in three projections,
-    so that the generated code stays small enough to be compiled to machine code.
+    on columns that are never NULL, so that the generated code stays small enough
+    to be compiled to machine code.
     """
     names = elements.columns
     if dim == 2:
         signed = elements.selectExpr("*", f"{_planar_measure()} AS signed_measure")
         out = signed.selectExpr("*", "abs(signed_measure) AS measure")
         return out.selectExpr("*", "sqrt(measure) AS length")
-    corners = [f"{case({s: f'{c}{m[i]}' for s, m in _CORNERS.items()})} AS c{c}{i}"
+    corners = [f"coalesce({case({s: f'{c}{m[i]}' for s, m in _CORNERS.items()})}, 0.0D) AS c{c}{i}"
                for i in range(8) for c in "xyz"]
     edges = {"a": ("71",), "b": ("60",), "c": ("72",), "d": ("30",), "e": ("50",), "f": ("74",),
              "ab": ("71", "60"), "ce": ("72", "50"), "fd": ("74", "30")}
