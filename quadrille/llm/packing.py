@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.llm.common import query, table, tokenizer_path
-from quadrille.llm.text import LOWER_AZ, SPACED, _cut
+from quadrille.llm.text import CHUNK, LOWER_AZ, SPACED, _cut
 
 WINDOW, END_ID = 4096, 2
 GROUP_WINDOWS, PIECE = 256, 512
@@ -52,27 +52,39 @@ class WordTokenizer:
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|")]
         self.marker = special[0] if special else None
 
-    def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers.
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit numbers.
 
         Two rewritings that leave the ids as they are let more words be known already: capitals A-Z (the vocabulary is
         lower case) and a full stop or comma that ends a word, set apart (it is a word of its own in any case).  Text
         that may hold a special token is left alone.
         """
-        if self.marker is not None and b"<|" not in text:
-            text = _ENDING.sub(rb" \1", text.translate(LOWER_AZ))
-        return b"".join(self._piece(piece) for _, piece in _cut(text, SPACED))
-
-    def _piece(self, piece: bytes) -> bytes:
-        words = piece.split()
-        new = [w for w in set(words) if w not in self.known]
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for k, text in enumerate(texts):
+            if self.marker is not None and b"<|" not in text:
+                text = _ENDING.sub(rb" \1", text.translate(LOWER_AZ))
+            for _, piece in _cut(text, SPACED):
+                waiting.append((k, piece.split()))
+                size += len(piece)
+                if size > CHUNK:
+                    self._look_up(waiting, out)
+                    waiting, size = [], 0
+        self._look_up(waiting, out)
+        return [b"".join(parts) for parts in out]
+
+    def _look_up(self, waiting: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        """Learns what is new among about CHUNK bytes of words in one call, then looks all of them up."""
+        words = set().union(*[w for _, w in waiting])
+        new = words.difference(self.known)
         if new:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
-
+                new = words
+            self._learn(list(new))
+        get = self.known.__getitem__
+        for k, piece in waiting:
+            out[k].append(b"".join(map(get, piece)))
 
     def _learn(self, words: list[bytes]) -> None:
         """Looks words up in one call, a marker between them; words that hold a marker's characters go one by one."""
@@ -165,8 +177,8 @@ def pack(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json"
         for batch in batches:
             rows = [batch.column(i) for i in range(n)]
             full, waiting, tokens = [], [], 0
-            for k, value in enumerate(batch.column(n)):
-                ids = words.ids(value.as_py() or b"") + end
+            for k, ids in enumerate(tokenised(words, batch.column(n))):
+                ids += end
                 total = len(ids) // 4
                 cut = total - total % window
                 for start in range(0, cut, window):
@@ -188,6 +200,17 @@ def pack(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json"
             if full:
                 yield emit(rows, full)
 
+    def tokenised(words, column):
+        """Ids of a column's texts, about a megabyte of text at a time."""
+        part, size = [], 0
+        for value in column:
+            part.append(value.as_py() or b"")
+            size += len(part[-1])
+            if size > 2 * CHUNK:
+                yield from words.ids(part)
+                part, size = [], 0
+        yield from words.ids(part)
+
     def emit(rows, pieces):
         at = pa.array([p[0] for p in pieces], pa.int64())
         made = [pa.array([p[1] for p in pieces], pa.int64()), pa.array([p[2] for p in pieces], pa.int64()),
