@@ -25,10 +25,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import query, table
-from quadrille.plans.staging import width
 
-EPS, SEED = 4.0, 20240229
-QUERY_BLOCK, ROW_BLOCK = 4096, 16384
+EPS, SEED = 3.3, 20240229
+QUERY_BLOCK, ROW_BLOCK = 512, 16384
 #: Rows ranked truly before the threshold is set.
 PROBE = 3
 
@@ -92,22 +91,27 @@ def search_block(rows: pa.Table, queries: pa.Table, dim: int, k: int, eps: float
     length = queries["r"].to_numpy()
     unit = (q / length[:, None]) @ rotation(dim)
     out_q, out_v, out_s = [], [], []
+    scale, slack = scale.astype(np.float32), slack.astype(np.float32)
+    probe, longest = min(len(ids), PROBE * k), float(r.max())
     step = max(1, (1 << 22) // max(len(ids), 1))
     for first in range(0, len(qid), step):
         estimates = (unit[first:first + step].astype(np.float32) @ signs.T) * scale
-        for row, estimate in enumerate(estimates):
+        best = np.argpartition(estimates, len(ids) - probe, axis=1)[:, len(ids) - probe:]
+        estimates += slack
+        for row, reach in enumerate(estimates):
             me = first + row
-            probe = min(len(ids), PROBE * k)
-            best = np.argpartition(estimate, len(ids) - probe)[len(ids) - probe:]
-            best = best[ids[best] != qid[me]]
-            true = np.cumsum(v[best] * q[me], axis=1)[:, -1]
-            if len(best) >= k:
+            sure = best[row][ids[best[row]] != qid[me]]
+            if len(sure) >= k:
+                true = v[sure] @ q[me]
                 floor = np.partition(true, len(true) - k)[len(true) - k]
-                chosen = np.flatnonzero(estimate + slack >= floor / length[me])
+                chosen = np.union1d(np.flatnonzero(reach >= np.float32(floor / length[me])), sure)
             else:
                 chosen = np.arange(len(ids))
             chosen = chosen[ids[chosen] != qid[me]]
-            chosen = np.union1d(chosen, best)
+            near = v[chosen] @ q[me]
+            if len(near) > k:  # a product differs from the exact sum by far less than this margin
+                floor = np.partition(near, len(near) - k)[len(near) - k]
+                chosen = chosen[near >= floor - 1e-12 * longest * length[me]]
             true = np.cumsum(v[chosen] * q[me], axis=1)[:, -1]  # added up in order of the components
             top = np.lexsort((ids[chosen], -true))[:k]
             out_q.append(np.full(len(top), qid[me]))
@@ -121,9 +125,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector
     rows = usable(df, vec_id, vector)
     facts = rows.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.count_if(is_query).alias("m")).first()
     dim, n = facts["dim"] or 1, facts["n"]
-    spark = df.sparkSession
     q_blocks = -(-max(facts["m"], 1) // QUERY_BLOCK)
-    r_blocks = max(-(-max(n, 1) // ROW_BLOCK), min(2 * width(spark), -(-max(n, 1) // 1024)))
+    r_blocks = -(-max(n, 1) // ROW_BLOCK)
     coded = index(rows, dim)
     block = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
     right = (coded.withColumn("bb", block(r_blocks, 1))
