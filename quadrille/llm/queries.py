@@ -1,6 +1,6 @@
 """Imports every operator module, so that all queries are registered."""
 
-from quadrille.llm import decontaminate, html, language, neighbours, ngram_join, packing, secrets, toxicity  # noqa: F401
+from quadrille.llm import decontaminate, html, language, lm, neighbours, ngram_join, packing, secrets, toxicity  # noqa: F401
 from quadrille.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
