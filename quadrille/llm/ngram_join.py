@@ -391,6 +391,22 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each component: the one with the least id.  Rows without words or without an id stay, but
+    of rows that are equal in id and text only one does."""
+    found = stage(components(df, doc_id, text), "components")
+    gone = found.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = stage(gone, "gone")
+    kept = df.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, F.col(f"`{doc_id}`") == F.col("gone"), "left_anti")
+    again = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")), "again")
+    n = again.count()
+    if not n:
+        return kept
+    again = F.broadcast(again) if n <= MAX_IDS else again
+    same = F.col(f"`{doc_id}`") == F.col("again")
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+
+
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
