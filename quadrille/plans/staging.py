@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_scopes: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -33,10 +36,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` now and return a scan of it."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is staged inside once it is left, but for tables staged with ``survives``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None, survives: bool = False) -> DataFrame:
+    """Write ``df`` now and return a scan of it.  Inside ``scratch`` the table goes with the innermost scope, or with
+    the one around it if it ``survives``."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    scopes = _scopes[:-1] if survives else _scopes
+    if scopes:
+        scopes[-1].append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
