@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import query, table
 from quadrille.llm.components import connected
 from quadrille.llm.text import SPACED, column_bytes, hashed_words, mix
-from quadrille.plans.staging import stage, width
+from quadrille.plans.staging import scratch, stage, width
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: A column is frequent if more than HOT prefixes hold it; at most MAX_HOT columns count as frequent; rounds of counting.
@@ -377,24 +377,24 @@ class Join:
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, numerator: int = NUMERATOR,
                denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    sets = set_table(df, doc_id, text, words)
-    join = Join(sets, numerator, denominator)
-    roots = connected(join.links())
-    nodes = join.nodes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    nodes = nodes.select("node", "low", F.coalesce("root", "rep").alias("root"), "rows")
-    lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("members"))
-    named = nodes.join(lows, "root").filter("members > 1").select("node", "component_id")
-    named = stage(named, "named")
-    named = F.broadcast(named) if named.count() <= MAX_IDS // 2 else named
-    thin = sets.select("doc_id", "n", "node")
-    return thin.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with scratch(df.sparkSession):
+        sets = set_table(df, doc_id, text, words)
+        join = Join(sets, numerator, denominator)
+        roots = connected(join.links())
+        nodes = join.nodes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        nodes = nodes.select("node", "low", F.coalesce("root", "rep").alias("root"), "rows")
+        lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("members"))
+        named = stage(nodes.join(lows, "root").filter("members > 1").select("node", "component_id"), "named")
+        named = F.broadcast(named) if named.count() <= MAX_IDS // 2 else named
+        thin = sets.select("doc_id", "n", "node")
+        return stage(thin.join(named, "node", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components", survives=True)
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each component: the one with the least id.  Rows without words or without an id stay, but
     of rows that are equal in id and text only one does."""
-    found = stage(components(df, doc_id, text), "components")
+    found = components(df, doc_id, text)
     gone = found.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
     gone = stage(gone, "gone")
     kept = df.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, F.col(f"`{doc_id}`") == F.col("gone"), "left_anti")
