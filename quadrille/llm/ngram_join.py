@@ -40,7 +40,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: A column is frequent if more than HOT prefixes hold it; at most MAX_HOT columns count as frequent; rounds of counting.
 HOT, MAX_HOT, ROUNDS = 64, 1 << 20, 8
 #: Entries of a block of columns, entries a task holds before it passes them on, rows that may be broadcast as ids.
-BLOCK_ENTRIES, FLUSH, MAX_IDS = 1 << 20, 1 << 21, 1 << 22
+BLOCK_ENTRIES, FLUSH, MAX_IDS = 1 << 19, 1 << 20, 1 << 22
+#: Bytes of sets or texts that are worked on at once.
+SLICE = 1 << 22
 #: Rows of a block of the product within frequent columns.
 ROWS_LEFT, ROWS_RIGHT = 512, 2048
 _rng = np.random.RandomState(5)
@@ -64,7 +66,7 @@ def set_table(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts, ids = column_bytes(batch.column(1)), batch.column(0)
             sizes, nodes, sets = [], [], []
             for first, last, bounds, hashes in hashed_words(texts, SPACED):
@@ -100,6 +102,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), np.uint64), np.concatenate([[0], np.cumsum([len(r) // 8 for r in rows])]).astype(np.int64)
 
 
+def slices(batches, column: int):
+    """Consecutive parts of batches with about SLICE bytes in a binary column each, but at least one row."""
+    for batch in batches:
+        offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset:][:batch.num_rows + 1]
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def prefixes(tokens, bounds, hot, numerator, denominator):
     """Flags of the entries in the prefixes, of frequent entries, and the row of every entry."""
     size = np.diff(bounds)
@@ -159,7 +172,7 @@ class Join:
 
             def entries(batches, shared=shared):
                 waiting, held = [], 0
-                for batch in batches:
+                for batch in slices(batches, 0):
                     tokens, bounds = flat(batch.column(0))
                     taken, is_hot, _ = prefixes(tokens, bounds, shared.value, top, low)
                     waiting.append(tokens[taken & ~is_hot])
@@ -191,7 +204,7 @@ class Join:
 
         def entries(batches):
             waiting, held = [], 0
-            for batch in batches:
+            for batch in slices(batches, 2):
                 tokens, bounds = flat(batch.column(2))
                 taken, is_hot, row = prefixes(tokens, bounds, shared.value, top, low)
                 hots = np.bincount(row[taken & is_hot], minlength=len(bounds) - 1)
@@ -288,7 +301,7 @@ class Join:
         shared, top, low = self.spark.sparkContext.broadcast(self.hot), self.numerator, self.denominator
 
         def entries(batches):
-            for batch in batches:
+            for batch in slices(batches, 2):
                 tokens, bounds = flat(batch.column(2))
                 taken, is_hot, row = prefixes(tokens, bounds, shared.value, top, low)
                 size = np.diff(bounds)
