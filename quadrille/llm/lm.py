@@ -11,7 +11,7 @@ The probability of a symbol is that of the longest state that ends the text befo
 kept there; for anything else the suffix state's probability, scaled so that everything sums to one.
 
 Counts of all words grow with the corpus and are never broadcast or collected: they stay in blocks by hash.  Rare words'
-occurrences travel to the blocks and come back as one sum a document and block.  Words are known by 64-bit hashes.
+occurrences travel to the blocks and come back as sums, packed for runs of rows.  Words are known by 64-bit hashes.
 
 A null or empty text is the end alone.  Without any training text every symbol is unknown with probability 1 and scores
 are 0.  Rows are scored independently, so repeated rows get equal scores.
@@ -29,7 +29,7 @@ from quadrille.llm.text import SPACED, column_bytes, hashed_words
 from quadrille.plans.staging import stage, width
 
 P_MIN, BASE_DISCOUNT, STATE_DISCOUNT, ADDED = 2e-6, 0.5, 0.5, 0.1
-BLOCK_BYTES, FLUSH = 1 << 25, 1 << 21
+BLOCK_BYTES, FLUSH, BATCH = 1 << 25, 1 << 21, 1 << 12
 END = np.uint64(0x5D1F0E7A90C3B645)
 SHIFT = np.int64(1 << 20)
 
@@ -161,7 +161,7 @@ class Tree:
         held, under, kept = (np.bincount(context, w, n) for w in (share, 10.0 ** below, np.ones(len(context))))
         rest = np.maximum(1 - held, 1e-12) / np.maximum(1 - under, 1e-12)
         gain = np.bincount(context, counts * (np.log(share) - np.log(10) * below), n)
-        gain += context_counts * np.maximum(1 - held, 1e-12) * np.log(rest)
+        gain = gain + context_counts * np.maximum(1 - held, 1e-12) * np.log(rest)
         states = (kept > 0) & (gain > kept * np.log(max(self.total, 2)) / 2)
         return np.log10(share), np.log10(rest), states
 
@@ -249,10 +249,11 @@ def score(df: DataFrame, tree: Tree, counted: DataFrame, doc_id: str = "doc_id",
                 rare_rows.append(rows[owner[rare]])
                 rare_words.append(found[rare])
             if made:
-                n, known, base, value = [np.concatenate(x) for x in zip(*made)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(rows[0]) % blocks]), pa.array([None], pa.binary()), pa.array([None], pa.binary()),
-                                                  pa.array([rows.tolist()]), pa.ListArray.from_arrays([0, len(ids)], ids)] +
-                                                 [pa.array([x.tolist()]) for x in (n, known, base, value)], names=names)
+                edges = np.concatenate([np.flatnonzero(np.diff(batch_of(rows), prepend=-1)), [len(rows)]])
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
+                         for x in (rows, ids, *[np.concatenate(x) for x in zip(*made)])]
+                nothing = pa.nulls(len(edges) - 1, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(batch_of(rows[edges[:-1]]) % blocks), nothing, nothing, *lists], names=names)
                 keys, owners = np.concatenate(rare_words), np.concatenate(rare_rows)
                 parts = list(_deal(keys, blocks, keys, owners))
                 empty = [pa.nulls(len(parts), t) for t in types[3:]]
@@ -270,23 +271,45 @@ def score(df: DataFrame, tree: Tree, counted: DataFrame, doc_id: str = "doc_id",
         model = shared.value
         keys = np.frombuffer(b"".join(counts["keys"].to_pylist()), np.uint64)
         numbers = np.frombuffer(b"".join(counts["counts"].to_pylist()), np.int64)
+        words = np.frombuffer(b"".join(parts["words"].drop_null().to_pylist()), np.uint64)
+        owner, place = np.unique(np.frombuffer(b"".join(parts["rows"].drop_null().to_pylist()), np.int64), return_inverse=True)
+        at = find(keys, words)
+        n = np.where(at >= 0, numbers[at] if len(numbers) else 0, 0)
+        add = lambda w: np.bincount(place, w, len(owner))
+        columns = [owner, add(n > 0).astype(np.int64), add(model.base(n)).astype(float), add(model.root(n)).astype(float)]
+        batch = batch_of(owner)
+        edges = np.flatnonzero(np.diff(batch, prepend=-1))
+        out = [[c[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(owner)])] for c in columns]
+        sums = pa.table({"batch": pa.array(batch[edges], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(packed, out)},
+                         **{n: pa.nulls(len(edges), t) for n, t in zip(names[3:], types[3:])}})
         whole = parts.filter(parts["words"].is_null())
-        out = [pa.table({n: _flat(whole[n], t.value_type) for n, t in zip(names[3:], types[3:])})]
-        rare = parts.filter(parts["words"].is_valid())
-        if len(rare):
-            words = np.frombuffer(b"".join(rare["words"].to_pylist()), np.uint64)
-            owner, place = np.unique(np.frombuffer(b"".join(rare["rows"].to_pylist()), np.int64), return_inverse=True)
-            at = find(keys, words)
-            n = np.where(at >= 0, numbers[at] if len(numbers) else 0, 0)
-            add = lambda w: np.bincount(place, w, len(owner))
-            out.append(pa.table({"row": owner, "id": pa.nulls(len(owner), id_type), "n_tokens": np.zeros(len(owner), np.int64),
-                                 "n_known": add(n > 0).astype(np.int64), "base": add(model.base(n)), "value": add(model.root(n))}))
-        return pa.concat_tables(out)
-
+        first = [batch_of(np.array([r[0].as_py()]))[0] for r in whole["row"]]
+        local = pa.table({"batch": pa.array(first, pa.int64()), **{n: pa.nulls(len(whole), pa.binary()) for n in packed},
+                          **{n: whole[n].cast(t) for n, t in zip(names[3:], types[3:])}})
+        return pa.concat_tables([sums, local])
+
+    def total(rows: pa.Table) -> pa.Table:
+        whole = rows.filter(rows["row"].is_valid())
+        row, known, base, value = [_flat(whole[n], t).to_numpy() for n, t in
+                                   (("row", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("value", pa.float64()))]
+        order = np.argsort(row)
+        owner, more, base_more, value_more = [np.frombuffer(b"".join(rows[n].drop_null().to_pylist()), k) for n, k in
+                                              zip(packed, (np.int64, np.int64, float, float))]
+        at = order[np.searchsorted(row[order], owner)] if len(owner) else np.zeros(0, np.int64)
+        add = lambda w: np.bincount(at, w, len(row))
+        return pa.table({"doc_id": _flat(whole["id"], id_type), "n_tokens": _flat(whole["n_tokens"], pa.int64()),
+                         "n_known": known + add(more).astype(np.int64), "base_score": base + add(base_more), "score": value + add(value_more)})
+
+    packed = ["rows", "found", "base_more", "value_more"]
+    nested = "row array<long>, id array<{}>, n_tokens array<long>, n_known array<long>, base array<double>, value array<double>".format(kind)
     found = parts.groupBy("block").cogroup(counted.select("block", "keys", "counts").groupBy("block")).applyInArrow(
-        look_up, f"row long, id {kind}, n_tokens long, n_known long, base double, value double")
-    return found.groupBy("row").agg(F.max("id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                                    F.sum("base").alias("base_score"), F.sum("value").alias("score")).drop("row")
+        look_up, f"batch long, {', '.join(n + ' binary' for n in packed)}, {nested}")
+    return found.groupBy("batch").applyInArrow(total, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def batch_of(rows: np.ndarray) -> np.ndarray:
+    """Number of the run of BATCH rows of one partition that a row is in; row numbers hold the partition above bit 33."""
+    return rows // BATCH
 
 
 def _flat(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import query, table
+from quadrille.llm.common import free_name, query, table
 from quadrille.llm.components import connected
 from quadrille.llm.text import SPACED, column_bytes, hashed_words, mix
 from quadrille.plans.staging import scratch, stage, width
@@ -407,17 +407,17 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each component: the one with the least id.  Rows without words or without an id stay, but
     of rows that are equal in id and text only one does."""
+    gone, again = free_name(df, "gone"), free_name(df, "again")
     found = components(df, doc_id, text)
-    gone = found.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = stage(gone, "gone")
-    kept = df.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, F.col(f"`{doc_id}`") == F.col("gone"), "left_anti")
-    again = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")), "again")
-    n = again.count()
+    least = stage(found.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), gone)
+    kept = df.join(F.broadcast(least) if least.count() <= MAX_IDS else least, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
+    several = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(again)), again)
+    n = several.count()
     if not n:
         return kept
-    again = F.broadcast(again) if n <= MAX_IDS else again
-    same = F.col(f"`{doc_id}`") == F.col("again")
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
+    several = F.broadcast(several) if n <= MAX_IDS else several
+    same = F.col(f"`{doc_id}`") == F.col(again)
+    return kept.join(several, same, "left_anti").union(kept.join(several, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
 @query("op7_ngram_join")

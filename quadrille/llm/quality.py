@@ -147,7 +147,7 @@ def learn_labels(examined: DataFrame) -> tuple[Labels, int]:
     """Accuracies from the vote patterns of all rows, and the number of rows."""
     rows = examined.groupBy("votes").count().collect()  # at most 3^11 patterns
     rows.sort(key=lambda r: tuple(r["votes"]))
-    patterns = np.array([list(r["votes"]) for r in rows], int).reshape(len(rows), -1)
+    patterns = np.array([list(r["votes"]) for r in rows], int).reshape(len(rows), len(LABELLERS))
     counts = np.array([r["count"] for r in rows], float)
     return Labels(patterns, counts), int(counts.sum())
 
