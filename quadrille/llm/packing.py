@@ -16,9 +16,11 @@ A null text counts as empty and yields the end id alone.  Repeated rows are pack
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ GROUP_WINDOWS, PIECE = 256, 512
 #: Words whose ids a worker keeps (about 250 bytes each); beyond it the cache starts anew.
 CACHE_WORDS = 1_200_000
 _ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: The letter that stands for a byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
@@ -50,6 +55,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|")]
+        described = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        self.byte_level = "\\p{L}]+" in json.dumps(described).replace("\\\\", "\\") and "ByteLevel" in json.dumps(described)
+        self.model = self.tokenizer.model
         self.marker = special[0] if special else None
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -87,7 +95,16 @@ class WordTokenizer:
             out[k].append(b"".join(map(get, piece)))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Looks words up in one call, a marker between them; words that hold a marker's characters go one by one."""
+        """Looks words up: runs of lower-case Latin letters straight in the vocabulary, as they are one symbol of its
+        alphabet a byte; others in one call, a marker between them; words that hold a marker's characters one by one."""
+        rest = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if self.byte_level and text.isalpha() and text == text.lower() and max(text) < "\u0250" and is_normalized("NFC", text):
+                self.known[word] = np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
+            else:
+                rest.append(word)
+        words = rest
         plain = [w for w in words if b"<|" not in w]
         if plain and self.marker is not None:
             joined = self.marker[0].join([w.decode("utf-8", "replace") for w in plain])
