@@ -87,8 +87,10 @@ def balance(leaves: DataFrame, grid: Grid, rule: str = "stencil",
     for deep cells of a neighbour region that do not touch it.
 
     Cells are held by their own coordinates during the sweep and encoded once at
-    the end.  Large levels are written one by one; once the levels that remain
-    hold no more than ``chain_rows`` families, they are swept in one plan.
+    the end.  Levels are written one by one while what remains is large: the
+    families of the levels left and the rows that the split cells just written
+    ask for.  Once both together are at most ``chain_rows``, they are swept in
+    one plan, which therefore never carries more than that.
     """
     spark = leaves.sparkSession
     coords = [f"CAST(shiftright({c}, {grid.max_level} - level) AS INT) AS {a}"
@@ -101,13 +103,14 @@ def balance(leaves: DataFrame, grid: Grid, rule: str = "stencil",
     columns = ["level", *grid.axes, "mask"]
     schema = ", ".join(f"{c} INT" for c in [*grid.axes, "mask", "level"])
     path = new_path(spark, "splits")
-    level, split = max(sizes), None
-    while sum(n for k, n in sizes.items() if k <= level) > chain_rows:
+    level, split, asked = max(sizes), None, 0
+    while asked + sum(n for k, n in sizes.items() if k <= level) > chain_rows and level > 0:
         rows = base.filter(F.col("level") == level).select(*columns)
         if split is not None:
             rows = rows.unionByName(split.selectExpr(f"inline(array({_asked(grid, rule)}))"))
         _merge(rows, grid).write.mode("append").partitionBy("level").parquet(path)
         split = spark.read.schema(schema).parquet(path).filter(F.col("level") == level).select(*columns)
+        asked = split.count() * (grid.dim * 3 - 2)  # rows a split cell sends up: at most 4, or 7 in 3D
         level -= 1
     rest = base.filter(F.col("level") <= level).select(*columns)
     if split is not None:

@@ -65,6 +65,13 @@ def _invalid(error: Column) -> Column:
     return error.isNull() | F.isnan(error) | (F.abs(error) == F.lit(math.inf))
 
 
+def _reject_repeats(rows: DataFrame, *key: str) -> None:
+    """A cell or element given twice would be counted, and later emitted, twice."""
+    twice = rows.groupBy(*key).count().filter("count > 1").drop("count").first()
+    if twice is not None:
+        raise ValueError(f"more than one error for {twice.asDict()}")
+
+
 def mark(indicators: DataFrame, params: Params | None = None) -> Marking:
     """Mark elements of ``indicators(elem_id, error, ratio[, length][, growth])``.
 
@@ -92,6 +99,7 @@ def mark(indicators: DataFrame, params: Params | None = None) -> Marking:
     n = stats["n"]
     if stats["bad"]:
         raise ValueError("errors must be finite and every element needs its indicators")
+    _reject_repeats(indicators, "elem_id")
     e2 = (error.cast("double") * error.cast("double")).alias("e2")
     growth = (F.col("growth") if "growth" in indicators.columns else F.lit(0)).cast("double")
     rows = indicators.select("elem_id", "error", e2, growth.alias("growth"),
@@ -192,6 +200,7 @@ def scalar_field(errors: DataFrame, grid: Grid, theta_refine: float, theta_coars
         F.sum("e2")).first()
     if bad:
         raise ValueError("errors must be finite and non-negative, one per leaf")
+    _reject_repeats(rows, "code", "level")
     refine_cutoff, coarsen_cutoff = math.inf, -math.inf
     if total and theta_refine > 0:
         at = crossing(rows, "down", "e2", lambda cum: cum >= theta_refine * total)

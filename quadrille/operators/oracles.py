@@ -28,8 +28,9 @@ class Oracle:
         return grid.max_level if self.fine_level is None else min(self.fine_level, grid.max_level)
 
     def splits(self, grid: Grid) -> Column:
+        """Where a cell splits; never from the ``fine`` level on."""
         rule = self.rule(grid)
-        return F.coalesce(F.expr(rule) if isinstance(rule, str) else rule, F.lit(False))
+        return (F.col("level") < self.fine(grid)) & F.coalesce(F.expr(rule) if isinstance(rule, str) else rule, F.lit(False))
 
 
 def when(rule: str | Column, coords: bool = False, fine_level: int | None = None) -> Oracle:

@@ -10,16 +10,29 @@ from quadrille.grid import Grid
 from quadrille.operators.tree import leaves_of
 
 
-def encode_points(points: DataFrame, grid: Grid) -> DataFrame:
+def _inside(grid: Grid) -> str:
+    """Condition that all coordinates are known and lie in the domain."""
+    return " AND ".join(f"coalesce({a} BETWEEN 0 AND {(1 << grid.max_level) - 1}, false)" for a in grid.axes)
+
+
+def rejected_points(points: DataFrame, grid: Grid) -> DataFrame:
+    """The points that no cell of ``grid`` holds: a coordinate is NULL or outside the domain."""
+    return points.filter(f"NOT ({_inside(grid)})")
+
+
+def encode_points(points: DataFrame, grid: Grid, reject: bool = False) -> DataFrame:
     """Add the ``code`` of the deepest cell that holds each point.
 
-    Points without a coordinate lie nowhere and are dropped here.  The code is
-    then never NULL, which keeps Catalyst from repeating the whole encoding in
-    the null filters of later joins.
+    A point outside the domain ends the query with an error, unless ``reject`` is set: then such points are left out
+    here and are what :func:`rejected_points` returns.  The code is never NULL, which keeps Catalyst from repeating the
+    whole encoding in the null filters of later joins.
     """
-    known = points.filter(" AND ".join(f"{a} IS NOT NULL" for a in grid.axes))
     code = encode(list(grid.axes), max(grid.max_level, 1))
-    return known.withColumn("code", F.expr(f"coalesce({code}, -1L)"))
+    if reject:
+        return points.filter(_inside(grid)).withColumn("code", F.expr(f"coalesce({code}, -1L)"))
+    told = ", ', ', ".join(f"coalesce(CAST({a} AS STRING), 'NULL')" for a in grid.axes)
+    fail = f"raise_error(concat('point outside the grid of level {grid.max_level}: ', {told}))"
+    return points.withColumn("code", F.expr(f"coalesce(CASE WHEN {_inside(grid)} THEN {code} ELSE CAST({fail} AS BIGINT) END, -1L)"))
 
 
 def crowded_cells(points: DataFrame, grid: Grid, capacity: int) -> DataFrame:

@@ -24,17 +24,26 @@ class Points:
     spark: tuple[str, ...]
     duck: str
     capacity: int
+    #: Expression over the table whose maximum, plus one, stands for ``{top}`` in ``spark``.
+    top: str | None = None
+
+    def rows(self, spark: SparkSession, sf: str) -> DataFrame:
+        table = spark.read.parquet(f"{sf}/{self.table}.parquet")
+        top = (table.agg(F.expr(f"max({self.top})")).first()[0] or 0) + 1 if self.top else 0
+        return table.selectExpr(*[e.replace("{top}", f"{top}L") for e in self.spark])
 
     def load(self, spark: SparkSession, sf: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf}/{self.table}.parquet").selectExpr(*self.spark)
-        return encode_points(rows, self.grid)
+        return encode_points(self.rows(spark, sf), self.grid)
 
     def tree(self, spark: SparkSession, sf: str) -> DataFrame:
         return tree_of_points(self.load(spark, sf), self.grid, self.capacity)
 
 
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
-_MINUTES = "timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
+_TOP = f"(SELECT max({_CENTS} * {_CENTS}) + 1 FROM lineitem)"
+# Without a time zone on either side, so that the session's does not matter.
+_MINUTES = ("datediff(CAST(ts AS DATE), DATE'2024-01-01') * 1440L + hour(CAST(ts AS TIMESTAMP_NTZ)) * 60L "
+            "+ minute(CAST(ts AS TIMESTAMP_NTZ))")
 _LINE = "l_orderkey * 8 + l_linenumber AS pid"
 
 # Users against time: a thin, densely filled strip of a large domain.
@@ -46,22 +55,22 @@ EVENTS = Points(
     "CAST(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS y, "
     "CAST(round(value * 100) AS BIGINT) AS w FROM events", 4)
 
-# Squared prices against order lines: density falls along x.
+# Squared prices, scaled by the largest, against order lines: density falls along x.
 LINES = Points(
     Grid(2, 12), "lineitem",
-    (_LINE, f"least(shiftright({_CENTS} * {_CENTS}, 35), 4095L) AS x",
+    (_LINE, f"{_CENTS} * {_CENTS} DIV ({{top}} DIV 4096 + 1) AS x",
      "(l_orderkey * l_linenumber) % 4096 AS y", f"{_CENTS} AS w"),
-    f"SELECT {_LINE}, least(({_CENTS} * {_CENTS}) >> 35, 4095) AS x, "
-    f"(l_orderkey * l_linenumber) % 4096 AS y, {_CENTS} AS w FROM lineitem", 16)
+    f"SELECT {_LINE}, {_CENTS} * {_CENTS} // ({_TOP} // 4096 + 1) AS x, "
+    f"(l_orderkey * l_linenumber) % 4096 AS y, {_CENTS} AS w FROM lineitem", 16, f"{_CENTS} * {_CENTS}")
 
 LINES_3D = Points(
     Grid(3, 8), "lineitem",
-    (_LINE, f"least(shiftright({_CENTS} * {_CENTS}, 39), 255L) AS x",
+    (_LINE, f"{_CENTS} * {_CENTS} DIV ({{top}} DIV 256 + 1) AS x",
      "(l_orderkey * l_linenumber) % 256 AS y", "(l_partkey * l_partkey) % 65536 DIV 256 AS z",
      f"{_CENTS} AS w"),
-    f"SELECT {_LINE}, least(({_CENTS} * {_CENTS}) >> 39, 255) AS x, "
+    f"SELECT {_LINE}, {_CENTS} * {_CENTS} // ({_TOP} // 256 + 1) AS x, "
     "(l_orderkey * l_linenumber) % 256 AS y, (l_partkey * l_partkey) % 65536 // 256 AS z, "
-    f"{_CENTS} AS w FROM lineitem", 16)
+    f"{_CENTS} AS w FROM lineitem", 16, f"{_CENTS} * {_CENTS}")
 
 VECTORS = Points(
     Grid(3, 8), "embeddings",

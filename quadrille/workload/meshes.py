@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
-from itertools import combinations
+import math
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,13 +203,24 @@ def _duck_tet(a, b, c, d) -> str:
             f"+ {u[2]} * ({v[0]} * {w[1]} - {v[1]} * {w[0]})) / 6)")
 
 
-# Outward faces of the three-dimensional shapes, for the sum over cones from a common apex.
-_FACES = {
-    S.H8: ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)),
-    S.W6: ((0, 2, 1), (3, 4, 5), (0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)),
-    S.P5: ((0, 3, 2, 1), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)),
-    S.T4: ((0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)),
-}
+def _faces(points) -> list[list[int]]:
+    """Faces of a convex solid, each turning left as seen from outside: the planes through three corners that have no
+    corner beyond them, and the corners on those planes in the order of their angles."""
+    minus = lambda p, q: tuple(x - y for x, y in zip(p, q))
+    dot = lambda p, q: sum(x * y for x, y in zip(p, q))
+    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+    found = {}
+    for i, j, k in permutations(range(len(points)), 3):
+        out = cross(minus(points[j], points[i]), minus(points[k], points[i]))
+        heights = [dot(out, minus(p, points[i])) for p in points]
+        if max(heights) < 1e-9 < -min(heights):
+            on = [m for m, h in enumerate(heights) if h > -1e-9]
+            middle = tuple(sum(points[m][a] for m in on) / len(on) for a in range(3))
+            right = minus(points[on[0]], middle)
+            up = cross(out, right)
+            found[tuple(on)] = sorted(on, key=lambda m: math.atan2(dot(up, minus(points[m], middle)) / math.sqrt(dot(out, out)),
+                                                                   dot(right, minus(points[m], middle))))
+    return list(found.values())
 
 
 def _duck_measure(code: int) -> str:
@@ -219,7 +230,7 @@ def _duck_measure(code: int) -> str:
         terms = " + ".join(f"(x{i} * y{(i + 1) % n} - x{(i + 1) % n} * y{i})" for i in range(n))
         return f"(({terms}) / 2)"
     apex, total = v[0], []
-    for face in _FACES[code]:
+    for face in _faces(_REFERENCE[code]):
         f = [v[i] for i in face]
         if len(f) == 3:
             total.append(_duck_tet(apex, *f))
@@ -304,18 +315,17 @@ def later_indicators(mesh: U.Mesh) -> DataFrame:
 PARAMS = AdaptParams(K.Params(0.15, 0.30))
 
 
-@cache
-def _cycle(session: str, spark: SparkSession, sf: str, dim: int, n: int):
-    """Result of cycle ``n``; its tables are written out, so later queries start from them."""
+def _cycle(spark: SparkSession, sf: str, dim: int, n: int):
+    """Result of cycle ``n`` and the mesh it started from, computed from the tables each time."""
     if n == 0:
         mesh = seed_mesh(spark, sf, dim).staged()
         return adapt(mesh, first_indicators(spark, sf, mesh), PARAMS), mesh
-    before = _cycle(session, spark, sf, dim, n - 1)[0].refinement.mesh
+    before = _cycle(spark, sf, dim, n - 1)[0].refinement.mesh
     return adapt(before, later_indicators(before), PARAMS), before
 
 
 def cycle(spark: SparkSession, sf: str, dim: int, n: int):
-    return _cycle(spark.sparkContext.applicationId, spark, sf, dim, n)
+    return _cycle(spark, sf, dim, n)
 
 
 def _columns(dim: int, prefix: str = "con") -> list[str]:

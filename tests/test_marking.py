@@ -92,3 +92,9 @@ def test_against_sequential_marking(spark, seed):
     marked, chosen = reference(error, ratio, growth, p)
     assert ids(m.marked, by_error=True) == marked
     assert ids(m.selected, by_error=True) == chosen
+
+
+def test_an_element_given_twice_is_refused(spark):
+    rows = indicators(spark, [1.0, 2.0])
+    with pytest.raises(ValueError, match="more than one error"):
+        mark(rows.union(rows.limit(1)))

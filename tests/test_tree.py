@@ -10,7 +10,7 @@ from quadrille.operators import balance as B
 from quadrille.operators import oracles as O
 from quadrille.operators import tree as T
 from quadrille.operators.marking import scalar_field
-from quadrille.operators.points import encode_points, tree_of_points
+from quadrille.operators.points import encode_points, rejected_points, tree_of_points
 from quadrille.operators.verify import InvalidTree, verify
 from quadrille.plans.staging import stage
 
@@ -101,11 +101,16 @@ def test_verify_rejects(spark):
 
 
 def test_points_tree_against_brute_force(spark):
-    """A third of the points in one spot, and NULL coordinates."""
+    """A third of the points in one spot, and points that lie nowhere."""
     grid, capacity = Grid(2, 5), 3
     points = [((i * 7) % 32, (i * i) % 32) for i in range(200)] + [(9, 9)] * 100
-    rows = [*points, (None, 4), (3, None)]
-    df = encode_points(spark.createDataFrame(rows, "x bigint, y bigint"), grid)
+    outside = [(None, 4), (3, None), (-1, 2), (2, 32), (17, -15), (1 << 40, 0)]
+    rows = spark.createDataFrame([*points, *outside], "x bigint, y bigint")
+    assert sorted(map(repr, rejected_points(rows, grid).collect())) == sorted(map(repr, spark.createDataFrame(outside, rows.schema).collect()))
+    for row in outside:
+        with pytest.raises(Exception, match="point outside the grid"):
+            encode_points(spark.createDataFrame([row], rows.schema), grid).collect()
+    df = encode_points(rows, grid, reject=True)
     got = {tuple(r) for r in T.cell_columns(tree_of_points(df, grid, capacity), grid)
            .select("level", "x", "y").collect()}
     want = set()
@@ -123,6 +128,14 @@ def test_points_tree_against_brute_force(spark):
     assert got == want
 
 
+def test_fine_level_belongs_to_the_predicate(spark):
+    """What an oracle leaves unsplit at its fine level, no further pass would split."""
+    grid, oracle = Grid(2, 4), O.when("level < 3", fine_level=2)
+    leaves = T.refine_converge(T.root(spark), grid, oracle)
+    assert leaves.count() == 16 and not T.refine_changes(leaves, grid, oracle)
+    assert T.refine_converge(T.root(spark), grid, O.when("level < 3")).count() == 64
+
+
 LEVEL_ONE = [(64 * k, 1) for k in range(4)]
 
 
