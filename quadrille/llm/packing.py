@@ -33,7 +33,7 @@ from quadrille.llm.common import query, table, tokenizer_path
 from quadrille.llm.text import CHUNK, LOWER_AZ, SPACED, _cut
 
 WINDOW, END_ID = 4096, 2
-GROUP_WINDOWS, PIECE = 256, 512
+GROUP_WINDOWS, PIECE = 256, 1024
 #: Words whose ids a worker keeps (about 250 bytes each); beyond it the cache starts anew.
 CACHE_WORDS = 1_200_000
 _ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
