@@ -43,6 +43,8 @@ HOT, MAX_HOT, ROUNDS = 64, 1 << 20, 8
 BLOCK_ENTRIES, FLUSH, MAX_IDS = 1 << 19, 1 << 20, 1 << 22
 #: Bytes of sets or texts that are worked on at once.
 SLICE = 1 << 22
+#: Pairs that are counted exactly in one group, whose sets are in memory together.
+GROUP_PAIRS = 4000
 #: Rows of a block of the product within frequent columns.
 ROWS_LEFT, ROWS_RIGHT = 512, 2048
 _rng = np.random.RandomState(5)
@@ -276,9 +278,9 @@ class Join:
         placed = (pairs.join(lead.withColumnRenamed("lead", "la"), "a")
                   .join(lead.select(F.col("a").alias("b"), F.col("lead").alias("lb")), "b")
                   .select("a", "b", F.least("la", "lb").alias("lead")))
-        load = placed.groupBy("lead").agg(F.ceil(F.sqrt(F.count("*") / 20_000)).alias("cuts"))
+        load = placed.groupBy("lead").agg(F.ceil(F.sqrt(F.count("*") / GROUP_PAIRS)).alias("cuts"))
         cut = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
-        groups = max(width(self.spark), n // 20_000 + 1)
+        groups = max(width(self.spark), n // GROUP_PAIRS + 1)
         placed = stage(placed.join(load, "lead").select("a", "b", F.pmod(F.xxhash64("lead", cut("a"), cut("b")), F.lit(groups)).alias("group")), "placed")
         needs = stage(placed.select("group", F.col("a").alias("tag")).union(placed.select("group", F.col("b").alias("tag"))).distinct(), "needs")
         top, low = self.numerator, self.denominator
