@@ -40,9 +40,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: A column is frequent if more than HOT prefixes hold it; at most MAX_HOT columns count as frequent; rounds of counting.
 HOT, MAX_HOT, ROUNDS = 64, 1 << 20, 8
 #: Entries of a block of columns, entries a task holds before it passes them on, rows that may be broadcast as ids.
-BLOCK_ENTRIES, FLUSH, MAX_IDS = 1 << 19, 1 << 20, 1 << 22
+BLOCK_ENTRIES, FLUSH, MAX_IDS = 1 << 18, 1 << 18, 1 << 22
 #: Bytes of sets or texts that are worked on at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Pairs that are counted exactly in one group, whose sets are in memory together.
 GROUP_PAIRS = 4000
 #: Rows of a block of the product within frequent columns.

@@ -32,7 +32,7 @@ from quadrille.plans.staging import stage
 
 SAMPLE, LEXICON_SIZE, MIN_DOCS = 20_000, 4096, 4
 TREES, DEPTH, STEP, SEED = 30, 3, 0.2, 17
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W_]+(?:[@$!*.+_\d-]+[^\W_]+)+")
