@@ -1,17 +1,21 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are words and the end of a text.  The tree's root is the distribution of single symbols, absolutely discounted,
-with the mass of discounts for all unknown words together.  Deeper states are contexts of one or two words.  A sequence
-of symbols is kept if it makes up at least ``P_MIN`` of the training symbols (and occurs twice), level by level: a
-longer one can only be that frequent if its parts are.  Hence at most 1 / P_MIN sequences a length, whatever the corpus,
-which is what lets the tree be broadcast.  A context becomes a state if the distribution of what follows diverges from
-its suffix's by more than the cost of the parameters it adds (G > k ln(N) / 2), and so do the suffixes of states.
+with the mass of discounts for all unknown words together.  Deeper nodes are contexts of any number of words.  In a
+context those symbols are kept that follow it at least ``LEAST`` times, whatever the size of the corpus.  A context passes
+if the distribution of what follows diverges from its suffix's by more than the cost of the parameters it adds
+(G > k ln(N) / 2).  Contexts grow word by word, all of them, until no context of a length passes.
 
-The probability of a symbol is that of the longest state that ends the text before it: the discounted share of what is
-kept there; for anything else the suffix state's probability, scaled so that everything sums to one.
+The probability of a symbol is that of the longest passing context before it: the discounted share of what is kept there;
+for anything else the probability in the context's suffix (passing or not), scaled so that everything sums to one.
 
-Counts of all words grow with the corpus and are never broadcast or collected: they stay in blocks by hash.  Rare words'
-occurrences travel to the blocks and come back as sums, packed for runs of rows.  Words are known by 64-bit hashes.
+Words, contexts and what follows them are known by 64-bit hashes and counted in blocks by hash; nothing of the tree is
+broadcast or collected.  Texts are cut into runs; at each length a run asks the blocks of its contexts about the distinct
+(context, symbol) it holds, and takes back probabilities and whether contexts pass.  A position is settled once no longer
+context before it can pass: if nothing is kept in its context, or the context has one follower only.
+
+``fit`` and ``score`` hold a tree of contexts of one and two words that make up ``P_MIN`` of the symbols in memory, where
+suffixes of states are states too; ``op8_lm`` does not use them.
 
 A null or empty text is the end alone.  Without any training text every symbol is unknown with probability 1 and scores
 are 0.  Rows are scored independently, so repeated rows get equal scores.
@@ -25,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import query, remainder, table
-from quadrille.llm.text import SPACED, column_bytes, hashed_words
-from quadrille.plans.staging import stage, width
+from quadrille.llm.text import SPACED, column_bytes, hashed_words, mix
+from quadrille.plans.staging import discard, scratch, shuffles_deleted, stage, width
 
 P_MIN, BASE_DISCOUNT, STATE_DISCOUNT, ADDED = 2e-6, 0.5, 0.5, 0.1
 BLOCK_BYTES, FLUSH, BATCH = 1 << 25, 1 << 21, 1 << 12
@@ -322,11 +326,271 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+# --- the whole tree, in blocks ------------------------------------------------------
+
+LEAST, RUN, SHARE_BYTES = 2, 1 << 19, 1 << 23
+ODD = np.uint64(0x9E3779B97F4A7C15)
+PASSES, GOES_ON, KEPT = 1, 2, 4
+_PARTS = {"bounds": np.int64, "train": np.bool_, "words": np.uint64, "count": np.int64, "place": np.int32, "at": np.uint8,
+          "node": np.float32, "value": np.float32, "known": np.int64, "base": np.float64, "score": np.float64}
+_FACTS = ("total", "kinds", "once", "twice")
+
+
+def _packed(values: np.ndarray, kind) -> bytes:
+    """Bytes of equal weight side by side, compressed; the size first."""
+    data = np.ascontiguousarray(values, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    size, item = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(item, -1).T).view(kind).ravel()
+
+
+def _all(column, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[_unpacked(x, kind) for x in column.to_pylist()]])
+
+
+def _row(table: pa.Table | pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    part = {n: _unpacked(table[n][i].as_py(), k) for n, k in _PARTS.items()}
+    return part | {"at": np.flatnonzero(np.unpackbits(part["at"], count=len(part["place"])))}
+
+
+def _with(rows, parts: list[dict[str, np.ndarray]], **facts) -> pa.Table:
+    """The runs of ``rows`` with new parts."""
+    columns = {n: rows[n] for n in ("run", "ids", "held")}
+    parts = [p | {"at": np.packbits(np.isin(np.arange(len(p["place"])), p["at"], kind="table"))} for p in parts]
+    columns |= {n: pa.array([_packed(p[n], k) for p in parts], pa.binary()) for n, k in _PARTS.items()}
+    return pa.table(columns | {n: pa.array(v, pa.int64()) for n, v in facts.items()})
+
+
+def _sums(values: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums per text of values at some positions."""
+    return np.bincount(np.searchsorted(bounds, at, "right") - 1, values, len(bounds) - 1)
+
+
+def _trained(part: dict[str, np.ndarray]) -> np.ndarray:
+    return part["train"][np.searchsorted(part["bounds"], part["at"], "right") - 1]
+
+
+def _exchange(state: DataFrame, blocks: int, ask, serve, take, answer: list, facts: str) -> tuple[DataFrame, list[int]]:
+    """Each run asks blocks about its distinct keys and takes their answers in.  ``ask(part)`` gives the place of every
+    position among the distinct keys, and arrays, by the first of which keys are dealt into blocks; ``serve(arrays)`` answers
+    all that one block is asked; ``take(part, place, answers, sums)`` gives the new part and its facts."""
+    kinds = [np.uint64, np.uint64, np.int32, np.float32]
+    names = ["k0", "k1", "k2", "k3"]
+
+    def dealt(part):
+        place, arrays = ask(part)
+        block = (arrays[0] % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((arrays[0], block))
+        return place, arrays, order, np.searchsorted(block[order], np.arange(blocks + 1))
+
+    def requests(batches):
+        for batch in batches:
+            for i, run in enumerate(batch.column(0).to_pylist()):
+                _, arrays, order, edges = dealt(_row(batch, i))
+                full = np.flatnonzero(np.diff(edges))
+                data = [pa.array([_packed(c[order[edges[b]:edges[b + 1]]], t) for b in full], pa.binary()) for c, t in zip(arrays, kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([run] * len(full), pa.int64()), *data],
+                                                 names=["block", "run", *names])
+
+    def replies(rows: pa.Table) -> pa.Table:
+        arrays = [_all(rows[n], k) for n, k in zip(names, kinds)]
+        edges = np.concatenate([[0], np.cumsum([int.from_bytes(x[:8], "little") // 8 for x in rows[names[0]].to_pylist()])])
+        made, sums = serve(arrays)
+        data = {f"r{k}": pa.array([_packed(c[a:b], t) for a, b in zip(edges, edges[1:])], pa.binary())
+                for k, (c, t) in enumerate(zip(made, answer))}
+        first = np.arange(len(rows)) == 0
+        return pa.table({"block": rows["block"], "run": rows["run"], **data, **{n: pa.array(np.where(first, s, 0), pa.int64()) for n, s in zip(_FACTS, sums)}})
+
+    asked = state.mapInArrow(requests, "block long, run long, " + ", ".join(n + " binary" for n in names))
+    replied = stage(asked.groupBy("block").applyInArrow(
+        replies, "block long, run long, " + ", ".join(f"r{k} binary" for k in range(len(answer))) + "".join(f", {n} long" for n in _FACTS)), "answers")
+    sums = [int(x or 0) for x in replied.agg(*[F.sum(n) for n in _FACTS]).first()]
+
+    def merge(rows: pa.Table, back: pa.Table) -> pa.Table:
+        part = _row(rows, 0)
+        place, arrays, order, _ = dealt(part)
+        back = back.sort_by("block")
+        answers = []
+        for k, t in enumerate(answer):
+            found = np.empty(len(order), t)
+            found[order] = _all(back[f"r{k}"], t)
+            answers.append(found)
+        new, counts = take(part, place, answers, sums)
+        return _with(rows, [new], **{n: [c] for n, c in counts.items()})
+
+    kept = state.select("run", "ids", "held", *_PARTS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields) + facts
+    merged = stage(kept.groupBy("run").cogroup(replied.drop(*_FACTS).groupBy("run")).applyInArrow(merge, schema), "runs")
+    discard(state)
+    discard(replied)
+    return merged, sums
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    """Texts as runs of about RUN symbols: distinct words, and for each position the place of its word."""
+    kind = _arrow(docs.schema["id"].dataType)
+
+    def pack(batches):
+        from pyspark import TaskContext
+        run = TaskContext.get().partitionId() << 33
+        waiting, held = [], 0
+        for batch in batches:
+            for first, last, bounds, found in symbols(batch.column(3)):
+                waiting.append((batch.slice(first, last - first), np.diff(bounds), found))
+                held += len(found)
+                if held >= RUN:
+                    yield whole(waiting, run)
+                    waiting, held, run = [], 0, run + 1
+        if waiting:
+            yield whole(waiting, run)
+
+    def whole(waiting, run):
+        texts = pa.Table.from_batches([w[0] for w in waiting]).combine_chunks()
+        words, place, often = np.unique(np.concatenate([w[2] for w in waiting]), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # small numbers for frequent words pack best
+        words, place = words[order], np.argsort(order)[place]
+        sizes = np.concatenate([w[1] for w in waiting])
+        n, one = len(sizes), lambda c, t: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.combine_chunks().cast(t))
+        part = {k: np.zeros(0, t) for k, t in _PARTS.items()} | {
+            "bounds": np.concatenate([[0], np.cumsum(sizes)]), "train": texts["train"].to_numpy(), "words": words, "place": place,
+            "known": np.zeros(n), "base": np.zeros(n), "score": np.zeros(n)}
+        rows = {"run": pa.array([run], pa.int64()), "ids": one(texts["id"], kind), "held": one(texts["held"], pa.bool_())}
+        return _with(rows, [part]).to_batches()[0]
+
+    name = docs.schema["id"].dataType.simpleString()
+    return stage(docs.select("id", "held", "train", "t").mapInArrow(
+        pack, f"run long, ids array<{name}>, held array<boolean>, " + ", ".join(n + " binary" for n in _PARTS)), "runs")
+
+
+def score_by_growing(df: DataFrame, train: F.Column, held: F.Column, doc_id: str = "doc_id", text: str = "text",
+                     deepest: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows with ``train`` are learned."""
+    spark = df.sparkSession
+    with scratch(spark), shuffles_deleted(spark):
+        docs = df.select(F.col(f"`{doc_id}`").alias("id"), held.cast("boolean").alias("held"), F.coalesce(train, F.lit(False)).alias("train"),
+                         F.col(f"`{text}`").cast("string").alias("t"))
+        blocks = max(width(spark), (docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SHARE_BYTES + 1)
+        state, known = _exchange(_runs(docs), blocks, _ask_words, _serve_words, _take_words, [np.int64], ", active long")
+        total = known[0]
+        active, passed, length = state.agg(F.sum("active")).first()[0], 1, 1
+        while active and passed and (deepest is None or length <= deepest):
+            ask, take = _ask_contexts(length, known), _take_contexts(length, known)
+            state, _ = _exchange(state, blocks, ask, _serve_contexts(total), take, [np.float32, np.uint8], ", active long, passed long")
+            active, passed = state.agg(F.sum("active"), F.sum("passed")).first()
+            length += 1
+        kind = state.schema["ids"].dataType.elementType
+
+        def unpack(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    part = _row(batch, i) if length > 1 else _opened(_row(batch, i), 1, known)
+                    score = part["score"] + _sums(part["value"], part["at"], part["bounds"])
+                    sizes = np.diff(part["bounds"])
+                    yield pa.RecordBatch.from_arrays([batch["ids"][i].values, batch["held"][i].values, pa.array(sizes), pa.array(part["known"]),
+                                                      pa.array(np.full(len(sizes), total)), pa.array(part["base"]), pa.array(score)], names=out)
+
+        out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return stage(state.mapInArrow(unpack, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                              "base_score double, score double"), "scores", survives=True)
+
+
+def _ask_words(part):
+    train = np.repeat(part["train"], np.diff(part["bounds"]))
+    words, n = part["words"], np.bincount(part["place"], train, len(part["words"])).astype(np.int32)
+    return part["place"], [words, words, n, np.zeros(len(words), np.float32)]
+
+
+def _serve_words(arrays):
+    words, _, n, _ = arrays
+    _, place = np.unique(words, return_inverse=True)
+    sums = np.bincount(place, n).astype(np.int64)
+    return [sums[place]], [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
+
+
+def _take_words(part, place, answers, facts):
+    model, (counts,), bounds = Tree(*facts), answers, part["bounds"]
+    every, goes = np.arange(len(place)), _opens(part | {"count": counts})
+    value = np.where(goes, 0.0, model.root(counts)[place])
+    return part | {"count": counts, "known": _sums(counts[place] > 0, every, bounds), "base": _sums(model.base(counts)[place], every, bounds),
+                   "score": _sums(value, every, bounds)}, {"active": int(goes.sum())}
+
+
+def _opens(part) -> np.ndarray:
+    """Which positions have a context of one word that occurs often enough; every text has its end at least."""
+    goes = np.ones(len(part["place"]), bool)
+    goes[part["bounds"][:-1]] = False
+    goes[1:] &= part["count"][part["place"][:-1]] >= LEAST
+    return goes
+
+
+def _opened(part, length: int, facts: list[int]):
+    """The part with the hashes of contexts; those of one word start from the words' counts."""
+    if length == 1:
+        at = np.flatnonzero(_opens(part))
+        node = Tree(*facts).root(part["count"])[part["place"][at]].astype(np.float32)
+        part = part | {"at": at, "node": node, "value": node}
+    context = np.zeros(len(part["at"]), np.uint64)
+    for k in range(1, length + 1):
+        context = mix(context + part["words"][part["place"][part["at"] - k]] * ODD)
+    return part | {"context": context}
+
+
+def _ask_contexts(length: int, facts: list[int]):
+    def ask(part):
+        part = _opened(part, length, facts)
+        after = mix(part["context"] * ODD + part["words"][part["place"][part["at"]]])
+        _, first, place = np.unique(after, return_index=True, return_inverse=True)
+        n = np.bincount(place, _trained(part), len(first)).astype(np.int32)
+        return place, [part["context"][first], after[first], n, part["node"][first]]
+    return ask
+
+
+def _serve_contexts(total: int):
+    def serve(arrays):
+        """The level's probability of each asked symbol in its context, and whether the context passes, and may have longer ones that do."""
+        contexts, after, n, below = arrays
+        _, first, place = np.unique(after, return_index=True, return_inverse=True)
+        counts = np.bincount(place, n)
+        _, context = np.unique(contexts[first], return_inverse=True)
+        below = below[first].astype(float)
+        occurs = np.bincount(context, counts)
+        keep = counts >= LEAST
+        share = np.where(keep, (counts - STATE_DISCOUNT) / np.maximum(occurs[context], 1), 1.0)
+        held, under, kept = (np.bincount(context, np.where(keep, w, 0)) for w in (share, 10.0 ** below, 1))
+        rest = np.maximum(1 - held, 1e-12) / np.maximum(1 - under, 1e-12)
+        gain = np.bincount(context, np.where(keep, counts * (np.log(share) - np.log(10) * below), 0.0))
+        gain = gain + occurs * np.maximum(1 - held, 1e-12) * np.log(rest)
+        passes = (kept > 0) & (gain > kept * np.log(max(total, 2)) / 2)
+        # A context with one follower only: what it gains by growing is below log(occurs) / 2, so nothing longer passes.
+        sure = np.bincount(context, keep & (counts == occurs[context])) > 0
+        node = np.where(keep, np.log10(share), below + np.log10(rest)[context])
+        flags = passes[context] * PASSES + ((kept > 0) & ~sure)[context] * GOES_ON + keep * KEPT
+        return [node[place], flags[place]], [0] * len(_FACTS)
+    return serve
+
+
+def _take_contexts(length: int, facts: list[int]):
+    def take(part, place, answers, _):
+        part = _opened(part, length, facts)
+        node, flags = answers[0][place], answers[1][place]
+        at, bounds = part["at"], part["bounds"]
+        value = np.where(flags & PASSES, node, part["value"]).astype(np.float32)
+        start = bounds[np.searchsorted(bounds, at, "right") - 1]
+        before = np.concatenate([[-1], at[:-1]])
+        once = np.concatenate([[False], flags[:-1] & KEPT == 0]) & (before == at - 1)  # the longer context occurs once
+        goes = (flags & GOES_ON > 0) & (at - length - 1 >= start) & ~once
+        return part | {"count": part["count"][:0], "at": at[goes], "node": node[goes], "value": value[goes],
+                       "score": part["score"] + _sums(value[~goes], at[~goes], bounds)}, {
+                           "active": int(goes.sum()), "passed": int((flags & PASSES > 0).sum())}
+    return take
+
+
 @query("op8_lm")
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 10) == 0
-    tree, counted = fit(docs.filter(~held_out).select("text"))
-    scored = score(docs, tree, counted)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"),
-                         "base_score", "score")
+    return score_by_growing(docs, ~held_out, held_out)

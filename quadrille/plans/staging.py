@@ -49,6 +49,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(conf).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a staged table now, before its scope is left."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a query shuffled is deleted when it ends, not when the driver forgets the query."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None, survives: bool = False) -> DataFrame:
     """Write ``df`` now and return a scan of it.  Inside ``scratch`` the table goes with the innermost scope, or with
     the one around it if it ``survives``."""

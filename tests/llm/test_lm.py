@@ -87,3 +87,71 @@ def test_query(spark, sf):
     held = [r for r in rows if r["held_out"]]
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+
+
+@pytest.mark.parametrize("deepest", [None, 2])
+def test_growing_against_a_plain_model(spark, deepest):
+    """Every context whose divergence passes is used, however rare or long: plain counting of all sequences."""
+    rng = random.Random(4)
+    rows = corpus() + [(600 + k, " ".join([rng.choice("pqrs"), "a b c", "xyzt"[k % 4], "a b c d e"][::rng.choice([1, 1, -1])])) for k in range(300)]
+    rows += [(1000 + k, f"u{k} a a a a {k % 2} a a a a a{k % 2}") for k in range(60)]
+    learned = lambda i: i % 7 != 0
+    texts = {k: words(t) + ["<end>"] for k, (i, t) in enumerate(rows)}
+    sequences = [s for k, s in texts.items() if learned(rows[k][0])]
+    counts = Counter(w for s in sequences for w in s)
+    total, kinds = sum(counts.values()), len(counts)
+    model = M.Tree(total, kinds, sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()))
+    node, passing, length = {}, {0: {()}}, 0
+
+    def at(context, symbol):
+        if not context:
+            return float(10 ** model.root(np.array([counts.get(symbol, 0)]))[0])
+        if context not in node:
+            return at(context[1:], symbol)
+        shares, rest = node[context]
+        return shares[symbol] if symbol in shares else at(context[1:], symbol) * rest
+
+    while passing[length] and (deepest is None or length < deepest):
+        length += 1
+        follow = {}
+        for s in sequences:
+            for i in range(length, len(s)):
+                follow.setdefault(tuple(s[i - length:i]), Counter())[s[i]] += 1
+        found = {}
+        for c, f in follow.items():
+            n, kept = sum(f.values()), {w: k for w, k in f.items() if k >= 2}
+            if kept:
+                found[c] = ({w: (k - 0.5) / n for w, k in kept.items()}, n, kept)
+        passing[length] = set()
+        for c, (shares, n, kept) in found.items():
+            below = {w: at(c[1:], w) for w in kept}
+            held, under = 1 - sum(shares.values()), 1 - sum(below.values())
+            rest = max(held, 1e-12) / max(under, 1e-12)
+            gain = sum(k * math.log(shares[w] / below[w]) for w, k in kept.items()) + n * max(held, 1e-12) * math.log(rest)
+            node[c] = (shares, rest)
+            if gain > len(kept) * math.log(total) / 2:
+                passing[length].add(c)
+    assert deepest or length > 3 and passing[3]
+    every = set().union(*passing.values())
+    deep = max(len(c) for c in every)
+    docs = documents(spark, [(k, t) for k, (_, t) in enumerate(rows)], score="clash")
+    ids = [k for k, (i, _) in enumerate(rows) if learned(i)]
+    train = M.F.col("doc_id").isin(ids)
+    got = {r["doc_id"]: r for r in M.score_by_growing(docs, train, ~train, deepest=deepest).collect()}
+    assert len(got) == len(rows)
+    for k, s in texts.items():
+        want = 0.0
+        for i, w in enumerate(s):
+            context = next(c for n in range(min(i, deep), -1, -1) if (c := tuple(s[i - n:i])) in every)
+            want += math.log10(at(context, w))
+        r = got[k]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(s), sum(w in counts for w in s), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts.get(w, 0) + 0.1) / (total + 0.1 * (kinds + 1))) for w in s), rel=1e-9)
+        assert r["score"] == pytest.approx(want, rel=1e-5), k
+
+
+def test_growing_without_training_text(spark):
+    docs = documents(spark, [(1, "a b"), (2, None)])
+    got = {r["doc_id"]: r for r in M.score_by_growing(docs, M.F.lit(False), M.F.lit(True)).collect()}
+    assert got[1]["n_tokens"] == 3 and got[1]["n_known"] == 0 and got[1]["score"] == 0 and got[2]["n_tokens"] == 1
+    assert M.score_by_growing(docs.limit(0), M.F.lit(True), M.F.lit(False)).count() == 0
