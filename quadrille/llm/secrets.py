@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with length-aware false-discovery control.
 
 Runs of token characters that could be encoded key material are candidates.  The encoding is inferred from the
-characters used (hexadecimal of either case, base 32, base 62, base 64 of either dialect); text in letters only fits
-none.  Under the hypothesis that a candidate's symbols are independent and uniform over its alphabet, three tests give
+characters used (hexadecimal, base 32 and base 36 of either case, letters of both cases, base 62, base 64 of either
+dialect); letters of one case only fit none.  Under the hypothesis that a candidate's symbols are independent and uniform over its alphabet, three tests give
 p-values: chi-squared uniformity, Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial
 correlation; three times the least of them is the candidate's p-value.  Within each class of lengths (powers of two)
 the Benjamini-Hochberg procedure over all candidates of the corpus decides which are *not* random; the others are
@@ -40,7 +40,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Alphabets in the order of their digits, the narrowest first.
+#: Alphabets in the order of their digits.
 ALPHABETS = (
     ("hex", _DIGITS + "abcdef", ("digit", "lower")),
     ("HEX", _DIGITS + "ABCDEF", ("digit", "upper")),
@@ -48,7 +48,12 @@ ALPHABETS = (
     ("base62", _UPPER + _LOWER + _DIGITS, ("digit", "lower", "upper")),
     ("base64", _UPPER + _LOWER + _DIGITS + "+/", ("digit", "lower", "upper")),
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_", ("digit", "lower", "upper")),
+    ("base32lower", _LOWER + "234567", ("digit", "lower")),
+    ("base36", _DIGITS + _LOWER, ("digit", "lower")),
+    ("BASE36", _DIGITS + _UPPER, ("digit", "upper")),
+    ("letters", _UPPER + _LOWER, ("lower", "upper")),
 )
+_NARROWEST = [(name, set(letters), classes) for name, letters, classes in sorted(ALPHABETS, key=lambda a: len(a[1]))]
 _PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters, _ in ALPHABETS}
 _CLASSES = {"digit": set(_DIGITS), "lower": set(_LOWER), "upper": set(_UPPER)}
 
@@ -56,8 +61,8 @@ _CLASSES = {"digit": set(_DIGITS), "lower": set(_LOWER), "upper": set(_UPPER)}
 def encoding(run: str) -> str | None:
     """The narrowest alphabet that holds the run and of which it uses every class of characters."""
     used = set(run)
-    for name, letters, classes in ALPHABETS:
-        if used <= set(letters) and all(used & _CLASSES[c] for c in classes):
+    for name, letters, classes in _NARROWEST:
+        if used <= letters and all(used & _CLASSES[c] for c in classes):
             return name
     return None
 

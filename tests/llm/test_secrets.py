@@ -74,3 +74,16 @@ def test_uniform_keys_are_rarely_judged_dull():
     for name, letters, _ in S.ALPHABETS:
         p = [S.battery("".join(rng.choice(letters) for _ in range(48)), name) for _ in range(400)]
         assert sum(x < 0.01 for x in p) <= 20, name
+
+
+def test_keys_of_every_alphabet_are_found_and_masked(spark):
+    rng = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [digits + lower, digits + upper, lower + "234567", upper + "234567", lower + upper]
+    for letters in alphabets:
+        keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 32, 40, 64) for _ in range(50)]
+        words = ["internationalisation2", "DonaudampfschifffahrtsGesellschaft", "aaaaaaaaaaaaaaaaaaaaaaa1", "ZZZZZZZZZZZZZZZZZZZZZZZZZZZ9"]
+        docs = documents(spark, [(i, f"see {k} there") for i, k in enumerate(keys + words)])
+        masked = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
+        assert sum(masked[i] == "see [secret] there" for i in range(len(keys))) >= 0.9 * len(keys), letters
+        assert [masked[len(keys) + k] for k in (1, 2, 3)] == [f"see {w} there" for w in words[1:]], letters
