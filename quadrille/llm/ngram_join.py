@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quadrille.llm.common import free_name, query, table
+from quadrille.llm.common import extend, free_name, query, table
 from quadrille.llm.components import connected
 from quadrille.llm.text import SPACED, column_bytes, hashed_words, mix
 from quadrille.plans.staging import scratch, stage, width
@@ -75,7 +76,7 @@ def set_table(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 for k in range(last - first):
                     s = shingles(hashes[bounds[k]:bounds[k + 1]], words)
                     sizes.append(len(s))
-                    nodes.append(int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
+                    nodes.append(node_of(s))
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
                                              names=["doc_id", "n", "node", "hashes"])
@@ -85,6 +86,16 @@ def set_table(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return stage(made.select(F.monotonically_increasing_id().alias("tag"), "doc_id", "n", "node", "hashes"), "sets")
 
 
+def node_of(s: np.ndarray) -> int | None:
+    """The hash of a set, null for the empty one."""
+    return int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None
+
+
+def _nodes(texts: list[bytes | None]) -> list[list[int | None]]:
+    return [[node_of(shingles(hashes[bounds[k]:bounds[k + 1]], WORDS)) for first, last, bounds, hashes in hashed_words(texts, SPACED)
+             for k in range(last - first)]]
+
+
 def prefix_length(n, numerator: int, denominator: int):
     """Entries of a set of n among which any partner shares one."""
     return n - (numerator * n + denominator - 1) // denominator + (n > 0)
@@ -392,6 +403,11 @@ class Join:
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, numerator: int = NUMERATOR,
                denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return _components(df, doc_id, text, words, numerator, denominator).drop("node")
+
+
+def _components(df: DataFrame, doc_id: str, text: str, words: int, numerator: int, denominator: int) -> DataFrame:
+    """doc_id, node, n_shingles and component_id of every row."""
     with scratch(df.sparkSession):
         sets = set_table(df, doc_id, text, words)
         join = Join(sets, numerator, denominator)
@@ -403,23 +419,30 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         named = F.broadcast(named) if named.count() <= MAX_IDS // 2 else named
         thin = sets.select("doc_id", "n", "node")
         return stage(thin.join(named, "node", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components", survives=True)
+            "doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components", survives=True)
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each component: the one with the least id.  Rows without words or without an id stay, but
     of rows that are equal in id and text only one does."""
-    gone, again = free_name(df, "gone"), free_name(df, "again")
-    found = components(df, doc_id, text)
-    least = stage(found.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), gone)
-    kept = df.join(F.broadcast(least) if least.count() <= MAX_IDS else least, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
+    gone, again, node = free_name(df, "gone"), free_name(df, "again"), free_name(df, "node")
+    found = _components(df, doc_id, text, WORDS, NUMERATOR, DENOMINATOR)
+    beaten = found.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias(gone), "node")
+    least = stage(beaten.select(gone).distinct(), gone)
+    least = F.broadcast(least) if least.count() <= MAX_IDS else least
     several = stage(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(again)), again)
     n = several.count()
     if not n:
-        return kept
+        return df.join(least, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
     several = F.broadcast(several) if n <= MAX_IDS else several
     same = F.col(f"`{doc_id}`") == F.col(again)
-    return kept.join(several, same, "left_anti").union(kept.join(several, same, "left_semi").dropDuplicates([doc_id, text]))
+    once = df.join(several, same, "left_anti").join(least, F.col(f"`{doc_id}`") == F.col(gone), "left_anti")
+    # Rows that share their id with others go by id and set.
+    rows = df.join(several, same, "left_semi").withColumn(node, F.col(f"`{text}`").cast("string"))
+    rows = extend(rows, node, [T.StructField(node, T.LongType())], _nodes, binary=True)
+    beaten = beaten.withColumnRenamed("node", again).distinct()
+    rows = rows.join(beaten, (F.col(f"`{doc_id}`") == F.col(gone)) & (F.col(node) == F.col(again)), "left_anti")
+    return once.union(rows.dropDuplicates([doc_id, text]).select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 @query("op7_ngram_join")

@@ -91,6 +91,14 @@ def test_repeated_and_missing_ids(spark):
     assert J.components(docs.limit(0)).count() == 0 and J.keep_first(docs.limit(0)).count() == 0
 
 
+def test_a_clean_text_stays_though_its_id_has_a_copy_elsewhere(spark):
+    copy, clean = "a b c d e f g h", "q r s t u v w x"
+    docs = documents(spark, [(3, copy), (7, copy), (7, clean), (7, clean), (7, ""), (8, copy), (9, "k l m n o p")], node="clash", gone="clash")
+    kept = J.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, copy), (7, ""), (7, clean), (9, "k l m n o p")]
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(80)]
