@@ -42,8 +42,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def extend(df: DataFrame, source: str, fields: list[T.StructField],
-           compute: Callable[[list], list[list]], binary: bool = False) -> DataFrame:
-    """``df`` with ``source`` exchanged for columns computed from it, one Arrow batch at a time.
+           compute: Callable[[list], list[list]], binary: bool = False, keep: bool = False) -> DataFrame:
+    """``df`` with ``source`` exchanged for columns computed from it (or kept beside them), one Arrow batch at a time.
 
     ``compute`` gets the values of ``source`` (text, or its UTF-8 bytes if ``binary``) and returns one list per new
     column.  A column of ``df`` with the name of a new one is replaced.  Rows are never moved, so no shuffle is needed.
@@ -52,7 +52,8 @@ def extend(df: DataFrame, source: str, fields: list[T.StructField],
     carried = [c for c in df.columns if c.lower() not in new and c != source]
     inside = free_name(df, "source_text")
     df = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{source}`").alias(inside))
-    schema = T.StructType([df.schema[c] for c in carried] + fields)
+    same = [T.StructField(source, df.schema[inside].dataType)] if keep and source.lower() not in new else []
+    schema = T.StructType([df.schema[c] for c in carried] + same + fields)
     dtypes = [_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def extend(df: DataFrame, source: str, fields: list[T.StructField],
             column = batch.column(batch.num_columns - 1)
             values = (column.cast(pa.binary()) if binary else column).to_pylist()
             made = compute(values)
-            arrays = [batch.column(i) for i in range(len(carried))] + [pa.array(x, type=t) for x, t in zip(made, dtypes)]
+            arrays = [batch.column(i) for i in range(len(carried) + len(same))] + [pa.array(x, type=t) for x, t in zip(made, dtypes)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.mapInArrow(run, schema)

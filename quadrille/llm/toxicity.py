@@ -5,7 +5,8 @@ the lexicon, terms that occur in significantly more toxic documents than chance
 of 4 to 6 letters for inflected forms), and the weights of its terms, the logarithms of their odds.  Per text: densities
 of lexicon hits, their nearness to second-person pronouns, capitals, punctuation, obfuscation, and hits that appear only
 once obfuscation is undone.  Gradient-boosted trees are fitted on three quarters of the sample and their margin is
-calibrated on the rest.  Feature extraction and scoring run over all rows where they lie.
+calibrated on the rest.  Feature extraction and scoring run over all rows where they lie, in time linear in the text, however
+long its words are.
 
 Null and empty texts have the features of an empty text and a score like any other.  A sample without both classes gives
 every text the share of toxic rows in it, 0 if it is empty.  Labels of one id that differ count as toxic; null labels
@@ -30,12 +31,14 @@ from pyspark.sql import types as T
 from quadrille.llm.common import extend, free_name, query, remainder, table
 from quadrille.plans.staging import stage
 
-SAMPLE, LEXICON_SIZE, MIN_DOCS = 20_000, 4096, 4
+SAMPLE, MIN_DOCS = 20_000, 4
 TREES, DEPTH, STEP, SEED = 30, 3, 0.2, 17
-CACHE_WORDS = 100_000
+CACHE_WORDS, CACHE_LETTERS = 100_000, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W_]+(?:[@$!*.+_\d-]+[^\W_]+)+")
+_SEPARATORS = "@$!*.+_-"
+_RUN = re.compile(r"[\w@$!*.+-]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _PUNCTUATION = re.compile(r"[^\w\s]+")
 _CAPITALS = re.compile(r"\b[A-Z]{2,}\b")
@@ -61,15 +64,29 @@ class Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        weight = self[word] = max([self.lexicon.get(t, 0.0) for t in terms_of(word)])
+        weight = max([self.lexicon.get(t, 0.0) for t in terms_of(word)])
+        if len(word) <= CACHE_LETTERS:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            self[word] = weight
         return weight
 
 
+def mixed_words(lowered: str) -> list[str]:
+    """Words with separators or digits inside: runs of both that start and end with a letter or digit."""
+    found = []
+    for piece in [p for p in lowered.split() if not p.isalpha() and not p[:-1].isalpha()]:
+        for run in _RUN.findall(piece):
+            run = run.strip(_SEPARATORS)
+            if not run.isalnum() and run or any(map(str.isdecimal, run[1:-1])):
+                found.append(run)
+    return found
+
+
 def features(text: str | None, weights: Weights) -> list[float]:
     text = text or ""
-    words = _WORD.findall(text.lower())
+    lowered = text.lower()
+    words = _WORD.findall(lowered)
     n, chars = max(len(words), 1), max(len(text), 1)
     found = list(map(weights.__getitem__, words))
     hits = [i for i, w in enumerate(found) if w > 0]
@@ -78,12 +95,12 @@ def features(text: str | None, weights: Weights) -> list[float]:
     for i in hits:
         k = _bisect(you, i)
         near.append(min([abs(i - j) for j in you[max(0, k - 1):k + 1]], default=1000))
-    mixed = [m for m in _MIXED.findall(text.lower()) if len(m) <= 40]
-    hidden = [weights[re.sub(r"[^\w]|[\d_]", "", m.translate(_LOOKALIKE))] for m in mixed] if mixed else []
-    upper, letters = sum(map(len, _CAPITALS.findall(text))), max(sum(map(len, words)), 1)
+    mixed = mixed_words(lowered)
+    hidden = [weights[_NOT_LETTERS.sub("", m.translate(_LOOKALIKE))] for m in mixed]
+    shouted, letters = _CAPITALS.findall(text), max(sum(map(len, words)), 1)
     return [math.log1p(len(words)), sum(found) / n, len(hits) / n, math.log1p(len(hits)), max(found, default=0.0),
             max((math.exp(-d / 5) for d in near), default=0.0), sum(math.exp(-d / 5) for d in near) / n, len(you) / n,
-            upper / letters, len(_CAPITALS.findall(text)) / n, text.count("!") / chars, text.count("?") / chars,
+            sum(map(len, shouted)) / letters, len(shouted) / n, text.count("!") / chars, text.count("?") / chars,
             sum(map(len, _PUNCTUATION.findall(text))) / chars, len(mixed) / n, len(_REPEATED.findall(text)) / n,
             sum(hidden) / n, max(hidden, default=0.0)]
 
@@ -138,8 +155,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], int, int]:
     gain = part(F.col("bad"), F.col("n") * rate) + part(F.col("n") - F.col("bad"), F.col("n") * (1 - rate))
     weight = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - math.log(rate / (1 - rate))
     chosen = (counts.filter(F.col("term") != "").select("term", gain.alias("gain"), weight.alias("weight"))
-              .filter((F.col("gain") > math.log(tried)) & (F.col("weight") > 1))
-              .orderBy(F.desc("gain"), "term").limit(LEXICON_SIZE))
+              .filter((F.col("gain") > math.log(tried)) & (F.col("weight") > 1)))  # of the sample's terms, so bounded by it
     return {r["term"]: r["weight"] for r in chosen.collect()}, total["n"], total["bad"]
 
 
@@ -159,7 +175,7 @@ class Scorer:
                 held.append(Weights(lexicon))
             return [[features(v, held[0]) for v in values]]
 
-        return extend(df, text, [T.StructField(into, T.ArrayType(T.DoubleType()))], compute)
+        return extend(df, text, [T.StructField(into, T.ArrayType(T.DoubleType()))], compute, keep=True)
 
     def margin(self, df: DataFrame, into: str) -> DataFrame:
         """``features`` exchanged for the trees' probability before calibration."""
@@ -167,15 +183,19 @@ class Scorer:
         scored = self.trees.transform(df.withColumn("features", array_to_vector("features")))
         return scored.select(*kept, vector_to_array("probability")[1].alias(into))
 
-    def score(self, df: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
-        """``df`` without ``text``, plus ``into``: the calibrated score of every row."""
-        carried = [c for c in df.columns if c not in (text, into)]
+    def score(self, df: DataFrame, text: str = "text", into: str = "score", keep: bool = False) -> DataFrame:
+        """``df`` without ``text`` (unless ``keep``), plus ``into``: the calibrated score of every row."""
+        carried = [c for c in df.columns if c != into and (keep or c != text)]
         if self.constant is not None:
             return df.select(*[F.col(f"`{c}`") for c in carried], F.lit(self.constant).alias(into))
-        work = df.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{text}`").alias("body"))
-        scored = self.isotonic.transform(self.margin(self.with_features(work, "body", "features"), "margin"))
+        places = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names that clash with none of the columns made below
+        work = df.select(*[F.col(f"`{c}`").alias(place) for c, place in places.items() if c == text or c in carried])
+        work = self.with_features(work, places[text], "features")
+        if not keep:
+            work = work.drop(places[text])
+        scored = self.isotonic.transform(self.margin(work, "margin"))
         result = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))
-        return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in carried], result.alias(into))
+        return scored.select(*[F.col(places[c]).alias(c) for c in carried], result.alias(into))
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Scorer:
@@ -193,7 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Scorer:
     if train.agg(F.count_distinct("toxic")).first()[0] < 2:
         train = rows
     boosted = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED)
-    scorer.trees = boosted.fit(train.withColumn("features", array_to_vector("features")).repartition(4).cache())
+    train = train.withColumn("features", array_to_vector("features")).repartition(4).cache()
+    scorer.trees = boosted.fit(train)
+    train.unpersist()
     held = rows.filter(fold)
     if held.agg(F.count_distinct("toxic")).first()[0] < 2:
         held = rows
@@ -204,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Scorer:
 
 def reject_toxic(docs: DataFrame, training: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``cut``, columns unchanged."""
-    body, score = free_name(docs, "body"), free_name(docs, "toxicity")
-    scored = fit(training, labels).score(docs.withColumn(body, F.col("text")), body, score)
+    score = free_name(docs, "toxicity")
+    scored = fit(training, labels).score(docs, "text", score, keep=True)
     return scored.filter(F.col(score) < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,5 +1,9 @@
 """Held-out accuracy, features, and samples without labels."""
 
+import random
+import re
+import time
+
 import numpy as np
 
 from helpers import documents
@@ -59,3 +63,24 @@ def test_query(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) >= 0.85  # few labels at this size
     assert not any(r["predicted"] and not truth[r["doc_id"]] for r in held)
+
+
+def test_mixed_words_are_those_of_the_pattern_and_take_linear_time():
+    pattern = re.compile(r"[^\W_]+(?:[@$!*.+_\d-]+[^\W_]+)+")
+    draw = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(draw.choice("ab1@._- ,²é") for _ in range(draw.randint(0, 14)))
+        assert X.mixed_words(text) == pattern.findall(text)
+    start = time.process_time()
+    for text in ("a" * 1_000_000, "a1" * 500_000, "a." * 500_000, "." * 1_000_000):
+        X.features(text, X.Weights({}))
+    assert time.process_time() - start < 20
+
+
+def test_score_keeps_text_and_clashing_columns(spark):
+    rows, labels = planted(spark, 300)
+    docs = documents(spark, rows, score="clash", features="clash", c0="x", probability="y")
+    scorer = X.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    kept = scorer.score(docs, "text", "toxicity", keep=True)
+    assert kept.columns == [*docs.columns, "toxicity"]
+    assert sorted(kept.select(*docs.columns).collect(), key=repr) == sorted(docs.collect(), key=repr)
