@@ -16,9 +16,10 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.morton import ancestor, corner, encode, neighbour
+from quadrille.functions.morton import ancestor, corner, encode, last_code, neighbour
 from quadrille.grid import Grid
 from quadrille.operators.tree import expand_masks, parents_of, split_flagged
+from quadrille.plans.intervals import running_max
 from quadrille.plans.staging import new_path, stage
 
 
@@ -131,23 +132,25 @@ def requirements(leaves: DataFrame, grid: Grid) -> DataFrame:
         .groupBy("code", "level").agg(F.count(F.lit(1)).alias("asking"))
 
 
-def _covering(needs: DataFrame, grid: Grid) -> DataFrame:
-    """Each need with every cell that may be the leaf covering it."""
-    out = needs.selectExpr("code AS need", "level AS need_level", "asking",
-                           "explode(sequence(0, level)) AS level")
-    return out.selectExpr("*", f"{ancestor('need', 'level', grid)} AS code")
+def _too_coarse(needs: DataFrame, leaves: DataFrame, grid: Grid) -> DataFrame:
+    """Each need with the leaf ``(code, level)`` that covers it whole.
+
+    Leaves are disjoint, so that is the last one to begin at or before the need, if it reaches its end.
+    """
+    marks = leaves.selectExpr("code", "named_struct('code', code, 'level', level) AS mark")
+    found = running_max(needs.select("code", "level", "asking"), marks)
+    return found.filter(f"{last_code('mark.code', 'mark.level', grid)} >= {last_code('code', 'level', grid)}").selectExpr(
+        "code AS need", "level AS need_level", "asking", "mark.code AS code", "mark.level AS level")
 
 
 def violations(leaves: DataFrame, grid: Grid) -> DataFrame:
     """Leaves too coarse for a neighbour: ``(code, level, violations)``.
 
-    The count is of (leaf, direction) pairs whose neighbour is covered by a
-    leaf more than one level coarser; equal needs are merged before they are
-    located, and a need is located by an equi-join on its ancestors.
+    The count is of (leaf, direction) pairs whose neighbour is covered by a leaf more than one level coarser; equal needs
+    are merged before they are located, by one sweep in code order.
     """
-    cover = _covering(requirements(leaves, grid), grid)
-    return cover.join(leaves.select("code", "level"), ["code", "level"]) \
-        .groupBy("code", "level").agg(F.sum("asking").alias("violations"))
+    needs = stage(requirements(leaves, grid), "needs")
+    return _too_coarse(needs, leaves, grid).groupBy("code", "level").agg(F.sum("asking").alias("violations"))
 
 
 @dataclass(frozen=True)
@@ -164,17 +167,14 @@ def balance_passes(leaves: DataFrame, grid: Grid) -> Balanced:
     kept apart and applied once at the end.
     """
     base = leaves.select("code", "level")
-    needs = requirements(base, grid)
+    needs = stage(requirements(base, grid), "needs")
     every: DataFrame | None = None
     passes = 0
     while True:
-        cover = _covering(needs, grid)
         current = base
         if every is not None:
-            current = current.unionByName(split_flagged(every, grid, "true"))
-        hits = cover.join(current, ["code", "level"])
-        if every is not None:
-            hits = hits.join(every, ["code", "level"], "left_anti")
+            current = current.unionByName(split_flagged(every, grid, "true")).join(every, ["code", "level"], "left_anti")
+        hits = _too_coarse(needs, current, grid)
         hits = stage(hits.select("code", "level", "need", "need_level", "asking"), "ripple")
         if hits.isEmpty():
             break
@@ -182,7 +182,7 @@ def balance_passes(leaves: DataFrame, grid: Grid) -> Balanced:
         split = hits.select("code", "level").distinct()
         unmet = hits.filter("need_level > level").select(
             F.col("need").alias("code"), F.col("need_level").alias("level"), "asking")
-        needs = unmet.unionByName(requirements(split_flagged(split, grid, "true"), grid))
+        needs = stage(unmet.unionByName(requirements(split_flagged(split, grid, "true"), grid)), "needs")
         every = split if every is None else stage(every.unionByName(split), "ripple")
     if every is None:
         return Balanced(base, 0)

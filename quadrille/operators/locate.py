@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.morton import ancestor, below, neighbour
+from quadrille.functions.morton import ancestor, below, last_code, neighbour
 from quadrille.grid import Grid
+from quadrille.plans.intervals import running_max
 
 # Directory depth; at most 2**(dim * depth) rows, so always small enough to broadcast.
 _DIRECTORY_LEVEL = {2: 7, 3: 5}
@@ -40,12 +41,11 @@ def candidates(points: DataFrame, leaves: DataFrame, grid: Grid) -> DataFrame:
 def locate(points: DataFrame, leaves: DataFrame, grid: Grid) -> DataFrame:
     """Add ``leaf_code, leaf_level`` of the leaf that covers each point's ``code``.
 
-    A leaf that holds a large share of the points makes one join key hot; the
-    adaptive skew join splits that partition on the point side.
+    Leaves are disjoint, so the only one that can is the last to begin at or before the point: one sweep in code order.
     """
-    cells = leaves.selectExpr("code AS leaf_code", "level AS leaf_level")
-    return candidates(points, leaves, grid).join(cells, ["leaf_code", "leaf_level"]) \
-        .select(*points.columns, "leaf_code", "leaf_level")
+    marks = leaves.selectExpr("code", "named_struct('code', code, 'level', level) AS mark")
+    return running_max(points, marks).filter(f"code <= {last_code('mark.code', 'mark.level', grid)}").select(
+        *points.columns, F.col("mark.code").alias("leaf_code"), F.col("mark.level").alias("leaf_level"))
 
 
 def aggregate_by_leaf(points: DataFrame, leaves: DataFrame, grid: Grid,
@@ -71,14 +71,12 @@ def neighbour_cells(cells: DataFrame, grid: Grid) -> DataFrame:
 def covered_by_regions(cells: DataFrame, leaves: DataFrame, grid: Grid) -> DataFrame:
     """Leaves inside the same-size neighbour region of any of ``cells``.
 
-    A leaf lies in a region exactly if the region is one of its ancestors (or
-    itself), so the range join is a semi-join on ``(code, level)``; regions are
-    deduplicated first and no pairs are formed.
+    Regions are nested or disjoint, so a leaf lies in one exactly if, of those that begin at or before it, the one that
+    reaches furthest reaches its end: one sweep in code order.  Regions are deduplicated first and no pairs are formed.
     """
-    regions = neighbour_cells(cells, grid).selectExpr("n_code AS r_code", "level AS r_level").distinct()
-    each = leaves.selectExpr("code", "level", "explode(sequence(0, level)) AS r_level") \
-        .withColumn("r_code", F.expr(ancestor("code", "r_level", grid)))
-    return each.join(regions, ["r_code", "r_level"], "left_semi").select("code", "level").distinct()
+    regions = neighbour_cells(cells, grid).selectExpr("n_code AS code", "level").distinct().selectExpr(
+        "code", f"{last_code('code', 'level', grid)} AS mark")
+    return running_max(leaves.select("code", "level"), regions).filter(f"mark >= {last_code('code', 'level', grid)}").select("code", "level")
 
 
 def neighbour_levels(leaves: DataFrame, grid: Grid) -> DataFrame:

@@ -128,11 +128,11 @@ def parents_of(leaves: DataFrame, grid: Grid) -> DataFrame:
 def internal_of(leaves: DataFrame, grid: Grid) -> DataFrame:
     """Every split cell of the tree, i.e. every proper ancestor of a leaf.
 
-    Leaves collapse to their parents before the ancestors are listed, which
-    divides the rows to expand by the size of a family.
+    The leaves tile the domain, so exactly one of those below a cell begins where the cell does: each leaf lists the
+    ancestors that begin with it, and nothing is shuffled.
     """
-    each = parents_of(leaves, grid).selectExpr("code AS c", "explode(sequence(0, level)) AS level")
-    return each.selectExpr(f"{ancestor('c', 'level', grid)} AS code", "level").distinct()
+    each = leaves.filter("level > 0").selectExpr("code", "explode(sequence(0, level - 1)) AS level")
+    return each.filter(f"{ancestor('code', 'level', grid)} = code").select("code", "level")
 
 
 def families(leaves: DataFrame, grid: Grid, *extra: Column) -> DataFrame:

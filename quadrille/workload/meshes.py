@@ -27,55 +27,68 @@ G = LINES.grid
 
 # --- element marking: one element per order ---------------------------------------
 
-THETA, BETA, FLOOR = 0.4, 0.1, 1.5
+FLOOR = 1.5
+# What ends the selection: theta and beta, and tenths of the elements by which they may grow.
+_DECIDES = {"theta": (0.1, 0.5, 90), "cap": (0.2, 0.05, 90), "ceiling": (0.2, 0.5, 3)}
 _RATIO = ("CASE WHEN o_orderkey % 97 = 0 THEN CAST('NaN' AS DOUBLE) WHEN (o_orderkey * 104729) % 10 < 4 "
           "THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS ratio")
 _LENGTH = "CAST(1 + o_custkey % 8 AS DOUBLE) AS length"
 _GROWTH = "CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 7 END AS INT) AS growth"
 _ELEMENTS = ["o_orderkey AS elem_id", "floor(o_totalprice / 100) * CAST(1 AS DOUBLE) AS error",
              _RATIO, _LENGTH, _GROWTH]
-_BUDGET = 2000
 
 
 def _indicators(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/orders.parquet").selectExpr(*_ELEMENTS)
 
 
-_MARK = (f"WITH el AS (SELECT {', '.join(_ELEMENTS)} FROM orders), "
-         "fl AS (SELECT * FROM el WHERE ratio > 1 AND NOT isnan(ratio)), "
-         f"ca AS (SELECT * FROM fl WHERE length > {2 * FLOOR}), "
-         "tt AS (SELECT sum(error * error) AS total, count(*) AS n FROM el), "
-         "cu AS (SELECT *, sum(error * error) OVER w AS cum, row_number() OVER w AS rn FROM ca "
-         "WINDOW w AS (ORDER BY error * error DESC, elem_id ROWS UNBOUNDED PRECEDING)), "
-         f"mk AS (SELECT * FROM cu, tt WHERE rn = 1 OR (cum - error * error) / total < {THETA}), "
-         f"cp AS (SELECT *, sum(growth) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS used FROM mk "
-         f"WHERE rn <= ceil({BETA} * n)), "
-         f"se AS (SELECT * FROM cp WHERE used <= {_BUDGET})")
+def _mark_sql(decides: str) -> str:
+    theta, beta, tenths = _DECIDES[decides]
+    return (f"WITH el AS (SELECT {', '.join(_ELEMENTS)} FROM orders), "
+            "fl AS (SELECT * FROM el WHERE ratio > 1 AND NOT isnan(ratio)), "
+            f"ca AS (SELECT * FROM fl WHERE length > {2 * FLOOR}), "
+            "tt AS (SELECT sum(error * error) AS total, count(*) AS n FROM el), "
+            "cu AS (SELECT *, sum(error * error) OVER w AS cum, row_number() OVER w AS rn FROM ca "
+            "WINDOW w AS (ORDER BY error * error DESC, elem_id ROWS UNBOUNDED PRECEDING)), "
+            f"mk AS (SELECT * FROM cu, tt WHERE rn = 1 OR (cum - error * error) / total < {theta}), "
+            f"cp AS (SELECT *, sum(growth) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS used FROM mk "
+            f"WHERE rn <= ceil({beta} * n)), "
+            f"se AS (SELECT * FROM cp WHERE used <= ({tenths} * n) // 10)")
 
 
-def _mark(spark: SparkSession, sf: str) -> K.Marking:
+def _mark(spark: SparkSession, sf: str, decides: str = "ceiling") -> K.Marking:
+    theta, beta, tenths = _DECIDES[decides]
     rows = _indicators(spark, sf)
     n = rows.count()
-    return K.mark(rows, K.Params(THETA, BETA, FLOOR, n + _BUDGET))
+    return K.mark(rows, K.Params(theta, beta, FLOOR, n + tenths * n // 10))
 
 
 for _stage, _cte in (("flagged", "fl"), ("candidates", "ca"), ("marked", "mk"), ("selected", "se")):
     def _make(name: str, cte: str) -> None:
-        @query(f"mark_{name}", f"{_MARK} SELECT elem_id, error FROM {cte}")
+        @query(f"mark_{name}", f"{_mark_sql('ceiling')} SELECT elem_id, error FROM {cte}")
         def marked(spark, sf):
             return getattr(_mark(spark, sf), name).select("elem_id", "error")
 
     _make(_stage, _cte)
 
 
-@query("mark_status", f"{_MARK} SELECT 'selected' AS status, (SELECT count(*) FROM fl) AS flagged, "
-       "(SELECT count(*) FROM ca) AS candidates, (SELECT count(*) FROM mk) AS marked, "
-       "(SELECT count(*) FROM se) AS selected")
-def mark_status(spark, sf):
-    m = _mark(spark, sf)
-    return m.selected.agg(F.lit(m.status.value).alias("status"), *[
-        F.lit(m.metrics[k]).cast("bigint").alias(k) for k in ("flagged", "candidates", "marked")],
-        F.count(F.lit(1)).alias("selected"))
+def _decided(by: str, name: str) -> None:
+    if by != "ceiling":
+        @query(f"mark_selected{name}", f"{_mark_sql(by)} SELECT elem_id, error FROM se")
+        def selected(spark, sf):
+            return _mark(spark, sf, by).selected.select("elem_id", "error")
+
+    @query(f"mark_status{name}", f"{_mark_sql(by)} SELECT 'selected' AS status, (SELECT count(*) FROM fl) AS flagged, "
+           "(SELECT count(*) FROM ca) AS candidates, (SELECT count(*) FROM mk) AS marked, (SELECT count(*) FROM se) AS selected")
+    def mark_status(spark, sf):
+        m = _mark(spark, sf, by)
+        return m.selected.agg(F.lit(m.status.value).alias("status"), *[
+            F.lit(m.metrics[k]).cast("bigint").alias(k) for k in ("flagged", "candidates", "marked")],
+            F.count(F.lit(1)).alias("selected"))
+
+
+for _by, _name in (("ceiling", ""), ("theta", "_by_theta"), ("cap", "_by_cap")):
+    _decided(_by, _name)
 
 
 # --- error-driven tree marking -------------------------------------------------------

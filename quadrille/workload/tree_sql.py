@@ -99,3 +99,18 @@ def too_coarse(grid: Grid) -> str:
     """CTE ``bad``: (leaf, direction) pairs whose neighbour lies in a leaf two levels coarser."""
     return (neighbours(grid) + ", bad AS (SELECT c.code, c.level FROM nb JOIN leaves c "
             f"ON c.level < nb.level - 1 AND {_same(grid, 'c', 'nb', 'nb.level - c.level')})")
+
+
+def ripple(grid: Grid) -> str:
+    """Recursive CTE ``rip(pass, level, x, ...)``: the whole tree after each pass that splits every leaf found too coarse."""
+    at, keys = _xyz(grid, "{a}"), "level, " + _xyz(grid, "{a}")
+    moved = _xyz(grid, "n.{a} + d{a} AS {a}")
+    up = _xyz(grid, "nb.{a} >> (nb.level - v.level) AS {a}")
+    kids = _xyz(grid, "2 * b.{a} + o{a}")
+    factors = ", ".join(f"(VALUES (0), (1)) AS bit_{a}(o{a})" for a in grid.axes)
+    bad = (f"SELECT {keys} FROM rip SEMI JOIN (SELECT CAST(v.level AS INT) AS level, {up} FROM (SELECT n.level, {moved} FROM rip n, {stencil(grid)} "
+           f"WHERE n.level > 1 AND {_inside(grid, 'n.level', 'n')}) nb JOIN (SELECT range AS level FROM range({grid.max_level})) v ON v.level < nb.level - 1) asked "
+           f"USING ({keys})")
+    now = "(SELECT max(pass) + 1 FROM rip)"
+    return (f"rip AS (SELECT 0 AS pass, level, {at} FROM leaves UNION ALL (SELECT {now}, {keys} FROM rip ANTI JOIN ({bad}) b USING ({keys}) "
+            f"WHERE EXISTS ({bad}) UNION ALL SELECT {now}, CAST(b.level + 1 AS INT), {kids} FROM ({bad}) b, {factors}))")

@@ -225,6 +225,21 @@ _balance("2d", EVENTS)
 _balance("3d", VECTORS)
 
 
+def _front(name: str, p: Points) -> None:
+    g = p.grid
+    last = "(SELECT max(pass) FROM rip)"
+
+    @query(f"balance_front_{name}", S.tree(p) + ", " + S.ripple(g) + f" SELECT {S.enc(g)} AS code, level, {last} AS passes FROM rip WHERE pass = {last}")
+    def front(spark, sf):
+        done = B.balance_passes(stage(p.tree(spark, sf)), g)
+        return done.leaves.withColumn("passes", F.lit(done.passes))
+
+
+_front("2d", EVENTS)
+_front("3d", VECTORS)
+_front("lines", LINES)
+
+
 @query("balance_parity", "SELECT true AS same")
 def balance_parity(spark, sf):
     tree = stage(EVENTS.tree(spark, sf))
@@ -271,15 +286,14 @@ def _joins(name: str, p: Points) -> None:
     def neighbour_levels(spark, sf):
         return L.neighbour_levels(stage(p.tree(spark, sf)), g)
 
-    picked = "code % 3 = 0"
     inside = f"l.code >= nb.n_code AND {S.end(g)} <= nb.n_end"
 
     @query(f"region_leaves_{name}",
-           S.tree(p) + f", picked AS (SELECT * FROM leaves WHERE {picked}), " + S.neighbours(g, "picked")
+           S.tree(p) + ", " + S.neighbours(g)
            + f" SELECT DISTINCT l.code, l.level FROM leaves l JOIN nb ON {inside}")
     def region_leaves(spark, sf):
         leaves = stage(p.tree(spark, sf))
-        return L.covered_by_regions(leaves.filter(picked), leaves, g)
+        return L.covered_by_regions(leaves, leaves, g)
 
 
 _joins("2d", EVENTS)
