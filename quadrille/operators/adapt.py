@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.geometry import with_measures
 from quadrille.operators.marking import Marking, Params, Status, mark
-from quadrille.operators.mesh import Mesh, Refinement, closure, refine, validate, with_positions
+from quadrille.operators.mesh import Mesh, Refinement, closure, ranked_closure, refine, validate, with_positions
 from quadrille.operators.shapes import case, of_dim
 from quadrille.plans.selection import prefix
 from quadrille.plans.staging import stage
@@ -61,29 +61,16 @@ def element_lengths(mesh: Mesh) -> DataFrame:
         .select("elem_id", "length")
 
 
-def _added(elements: DataFrame, listed: DataFrame, dim: int) -> float:
-    rows = elements.join(listed, "elem_id", "left_semi")
-    return float(rows.agg(F.sum(F.expr(element_growth(dim)))).first()[0] or 0)
+def _within(mesh: Mesh, selected: DataFrame, budget: float) -> tuple[DataFrame, DataFrame]:
+    """The longest prefix of the selection whose closure adds at most ``budget`` elements, and that closure.
 
-
-def _fit(mesh: Mesh, selected: DataFrame, n: int, budget: float):
-    """Longest prefix of the selection whose closure adds at most ``budget`` elements.
-
-    A prefix' closure grows with it, so bisection finds it.  Prefixes are cut
-    by a filter on the marking order, not by numbering or collecting rows.
+    Each element of the whole selection's closure belongs to the first selected one that reaches it, so what a prefix adds
+    is a running sum over the selection, and both results are filters on the marking order.
     """
-    ranked = stage(selected.withColumn("one", F.lit(1.0)), "ranked")
-    fits, exceeds, best, best_closed = 0, n, None, None
-    while exceeds - fits > 1:
-        k = (fits + exceeds) // 2
-        bound = prefix(ranked, "e2", "elem_id", "one", lambda cum, k=k: cum >= k)
-        part = ranked.filter(bound.predicate("e2", "elem_id"))
-        closed = stage(closure(mesh, part, check=False), "closed")
-        if _added(mesh.elements, closed, mesh.dim) <= budget:
-            fits, best, best_closed = k, part.drop("one"), closed
-        else:
-            exceeds = k
-    return best, best_closed
+    ranks = stage(ranked_closure(mesh, selected).join(mesh.elements.selectExpr("elem_id", f"CAST({element_growth(mesh.dim)} AS DOUBLE) AS growth"), "elem_id"), "ranks")
+    sums = stage(ranks.groupBy("source", "e2").agg(F.sum("growth").alias("growth")), "sums")
+    bound = prefix(sums, "e2", "source", "growth", lambda cum: cum > budget, inclusive=False)
+    return selected.filter(bound.predicate("e2", "elem_id")), ranks.filter(bound.predicate("e2", "source")).select("elem_id")
 
 
 def adapt(mesh: Mesh, indicators: DataFrame, params: AdaptParams | None = None) -> Adaptation:
@@ -107,14 +94,14 @@ def adapt(mesh: Mesh, indicators: DataFrame, params: AdaptParams | None = None)
         return Adaptation(_STOPPED[marking.status], marking, marking.selected,
                           seconds=(marked_at - t0, 0.0, 0.0))
     selected = marking.selected
-    balanced = stage(closure(mesh, selected, check=False), "balanced")
     if p.marking.max_elements > 0:
-        budget = p.marking.max_elements - n
-        if _added(mesh.elements, balanced, mesh.dim) > budget:
-            selected, balanced = _fit(mesh, selected, marking.metrics["selected"], budget)
-            if balanced is None:
-                return Adaptation(AdaptStatus.ELEMENT_CEILING, marking, marking.selected.limit(0),
-                                  seconds=(marked_at - t0, time.perf_counter() - marked_at, 0.0))
+        selected, balanced = _within(mesh, selected, p.marking.max_elements - n)
+        balanced = stage(balanced, "balanced")
+        if balanced.isEmpty():
+            return Adaptation(AdaptStatus.ELEMENT_CEILING, marking, marking.selected.limit(0),
+                              seconds=(marked_at - t0, time.perf_counter() - marked_at, 0.0))
+    else:
+        balanced = stage(closure(mesh, selected, check=False), "balanced")
     closed_at = time.perf_counter()
     refinement = refine(mesh, balanced, check=False)
     grown = (refinement.mesh.elements.count() - n) / max(n, 1)

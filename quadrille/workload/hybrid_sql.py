@@ -181,6 +181,40 @@ def cycles(dim: int, boxes: str, rules: list[str]) -> str:
     return "WITH RECURSIVE " + ", ".join(parts)
 
 
+# --- one cycle within a ceiling -----------------------------------------------------------
+
+def within(dim: int, c: int, error: str, flag: str, theta: float, beta: float, room: str, floor: float = 0.0) -> str:
+    """CTEs from the mesh of cycle ``c``: ``fg`` flagged, ``cd`` candidates, ``se(e, rk)`` marked within theta, cap and ceiling,
+    and ``fit(e, chosen)``: the closure of the longest prefix of them that adds at most ``room`` elements."""
+    grown = "CASE s " + " ".join(f"WHEN {CODES[n]} THEN {len([k for k in _templates()[1] if k[0] == n and k[1] in (None, 0)]) - 1}" for n in CODES) + " END"
+    axes = list(zip("ijk"[:dim], "xyz"))
+    mine = [n for n in CODES if (n in ("T3", "Q4")) == (dim == 2)]
+    names = [f"{x}{i}" for i in range(8) for x in "xyz"]
+    measure = "CASE s " + " ".join(f"WHEN {CODES[n]} THEN {_duck_measure(CODES[n])}" for n in mine) + " END"
+    return ", ".join([
+        f"vq AS (SELECT e, any_value(s) AS s, list({{'x': x, 'y': y, 'z': z}} ORDER BY n) AS p, {', '.join(f'floor(min({x}) / 2) AS {k}' for k, x in axes)} "
+        f"FROM (SELECT e, s, unnest(v) AS id, generate_subscripts(v, 1) AS n FROM el{c}) JOIN nd{c} USING (id) GROUP BY e)",
+        f"ix AS (SELECT e, s, {error} AS err, {flag} AS f, {', '.join(f'p[{int(n[1:]) + 1}].{n[0]} AS {n}' for n in names)} "
+        f"FROM vq JOIN bx USING ({', '.join(k for k, _ in axes)}))",
+        f"ie AS (SELECT e, s, err, f, pow(abs({measure}), {1.0 / dim!r}::DOUBLE) AS length, {grown} AS growth FROM ix)",
+        "fg AS (SELECT * FROM ie WHERE f)", f"cd AS (SELECT * FROM fg WHERE length > {2 * floor!r})",
+        "tz AS (SELECT sum(err * err) AS total, count(*) AS n FROM ie)",
+        "cz AS (SELECT *, sum(err * err) OVER w AS cum, row_number() OVER w AS rk FROM cd WINDOW w AS (ORDER BY err * err DESC, e ROWS UNBOUNDED PRECEDING))",
+        f"mz AS (SELECT *, sum(growth) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING) AS used FROM cz, tz WHERE (rk = 1 OR (cum - err * err)::DOUBLE / total < {theta}) "
+        f"AND rk <= ceil({beta} * n))",
+        f"se AS (SELECT e, rk FROM mz WHERE used <= {room})",
+        "rr AS (SELECT e, rk FROM se UNION SELECT dst, rk FROM rr JOIN asz ON src = e)",
+        "mr AS (SELECT e, min(rk) AS rk FROM rr GROUP BY e)",
+        "cg AS (SELECT rk, sum(sum(growth)) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING) AS added FROM mr JOIN ie USING (e) GROUP BY rk)",
+        f"fit AS (SELECT m.e, s.e IS NOT NULL AS chosen FROM mr m LEFT JOIN se s USING (e) WHERE m.rk < coalesce((SELECT min(rk) FROM cg WHERE added > {room}), 1000000000000000))",
+    ])
+
+
+def asks(c: int) -> str:
+    """CTE ``asz(src, dst)``: which elements an element's refinement asks for."""
+    return closed(c).split(f", cs{c} AS")[0].replace(f"as{c} AS", "asz AS")
+
+
 # --- broken meshes and what is wrong with them -----------------------------------------
 
 _FIELD = "((id::BIGINT * 7919 + (id::BIGINT // 3) * 104729) % 2001 - 1000)::DOUBLE"

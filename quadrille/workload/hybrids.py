@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quadrille.operators import conformity as C
 from quadrille.operators import hybrid as H
+from quadrille.operators import marking as K
 from quadrille.operators import mesh as U
+from quadrille.operators.adapt import AdaptParams, adapt
 from quadrille.workload import hybrid_sql as Q
 from quadrille.workload.registry import query
 
@@ -139,5 +141,62 @@ def broken(spark: SparkSession, sf: str, dim: int) -> U.Mesh:
     return U.Mesh(dim, nodes.select("node_id", "x", "y", "z").unionByName(doubled), turned.unionByName(again), changed).staged()
 
 
-_register(2)
-_register(3)
+# --- one cycle that ends in each way ---------------------------------------------------------
+
+_ERROR, _FLAG = "CAST((val + e * 31) % 1000 AS {double})", "(val + e) % 10 < {share}"
+#: Share of flagged elements in tenths, theta, beta, room to grow in hundredths of the elements, size floor, least growth.
+_OUTCOMES = {"REFINED": (3, 0.05, 0.3, 0, 0.0, 0.0), "STAGNATED": (3, 0.02, 0.02, 0, 0.0, 0.9), "NO_CANDIDATES": (0, 0.3, 0.3, 0, 0.0, 0.0),
+             "FLOOR_EXHAUSTED": (3, 0.3, 0.3, 0, 5.0, 0.0), "ELEMENT_CEILING": (3, 0.3, 0.3, -1, 0.0, 0.0), "FLOORED": (5, 0.2, 0.3, 30, 0.65, 0.0)}
+
+
+def _adapted(spark: SparkSession, sf: str, dim: int, mesh: U.Mesh, share: int, theta: float, beta: float, room: int, floor: float, least: float):
+    boxed = H.box_of(mesh).join(rows(spark, sf, dim), ["i", "j"]).withColumn("e", F.col("elem_id"))
+    given = boxed.selectExpr("elem_id", _ERROR.format(double="DOUBLE") + " AS error", f"IF({_FLAG.format(share=share)}, 1.5D, 0.5D) AS ratio")
+    n = mesh.elements.count()
+    ceiling = 0 if room == 0 else n + 1 if room < 0 else n + room * n // 100
+    return adapt(mesh, given, AdaptParams(K.Params(theta, beta, floor, ceiling), least))
+
+
+def _cycle_sql(dim: int, share: int, theta: float, beta: float, room: int, floor: float) -> str:
+    limit = "1000000000000000" if room == 0 else "1" if room < 0 else f"({room} * (SELECT count(*) FROM el1) // 100)"
+    return Q.asks(1) + ", " + Q.within(dim, 1, _ERROR.format(double="BIGINT"), _FLAG.format(share=share), theta, beta, limit, floor)
+
+
+def _register_cycles(dim: int) -> None:
+    start = Q.cycles(dim, _duck_rows(dim), _rules(True)[:1])
+    bound = (3, 0.2, 0.3, 10, 0.0, 0.0)
+
+    @query(f"adapt_ceiling_{dim}d", f"{start}, {_cycle_sql(dim, *bound[:5])} SELECT e AS elem_id, chosen FROM fit")
+    def ceiling(spark, sf):
+        a = _adapted(spark, sf, dim, refined(spark, sf, dim, 1), *bound)
+        chosen = a.selected.select("elem_id", F.lit(True).alias("chosen"))
+        return a.balanced.join(chosen, "elem_id", "left").select("elem_id", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+    for outcome, facts in _OUTCOMES.items():
+        if dim == 3 and outcome not in ("ELEMENT_CEILING", "FLOORED"):
+            continue  # the same code without a dimension of its own
+        _register_outcome(dim, start, outcome, facts)
+
+
+def _register_outcome(dim: int, start: str, outcome: str, facts: tuple) -> None:
+    added = "coalesce((SELECT sum(growth) FROM fit JOIN ie USING (e)), 0)"
+    status = (f"CASE WHEN NOT EXISTS (FROM fg) THEN 'NO_CANDIDATES' WHEN NOT EXISTS (FROM cd) THEN 'FLOOR_EXHAUSTED' WHEN NOT EXISTS (FROM fit) THEN 'ELEMENT_CEILING' "
+              f"WHEN {added} < {facts[5]} * (SELECT count(*) FROM el1) THEN 'STAGNATED' ELSE 'REFINED' END")
+
+    @query(f"adapt_{outcome.lower()}_{dim}d", f"{start}, {_cycle_sql(dim, *facts[:5])} SELECT {status} AS status, (SELECT count(*) FROM fg) AS flagged, "
+           f"(SELECT count(*) FROM fit WHERE chosen) AS selected, (SELECT count(*) FROM fit) AS balanced, (SELECT count(*) FROM el1) + {added} AS elements")
+    def ended(spark, sf):
+        mesh = refined(spark, sf, dim, 1)
+        a = _adapted(spark, sf, dim, mesh, *facts)
+        after = a.refinement.mesh.elements if a.refinement else mesh.elements
+        counts = [t.agg(F.count(F.lit(1)).alias(name)) for name, t in
+                  (("flagged", a.marking.flagged), ("selected", a.selected), ("balanced", a.balanced if a.balanced is not None else a.selected.limit(0)), ("elements", after))]
+        result = counts[0]
+        for one in counts[1:]:
+            result = result.crossJoin(one)  # single rows
+        return result.select(F.lit(a.status.name).alias("status"), "flagged", "selected", "balanced", "elements")
+
+
+for _dim in (2, 3):
+    _register(_dim)
+    _register_cycles(_dim)

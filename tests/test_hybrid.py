@@ -150,3 +150,17 @@ def test_each_fault_is_found_alone(spark):
     assert "element turned" in kinds(elements=mesh.elements.withColumn("con", F.reverse("con")))
     gone = U.Mesh(2, mesh.nodes, mesh.elements.limit(0), mesh.constraints)
     assert {r[1] for r in C.coverage(gone, points(spark, (4, 4, 0), 5)).collect()} == {0}
+
+
+def test_ranked_closure_holds_the_closure_of_every_prefix(spark):
+    mesh = H.hybrid(boxes(spark, 3, 2, 4), 3)
+    for seed in (3, 4):
+        mesh = U.refine(mesh, U.closure(mesh, some(mesh, seed, 0.15)[0])).mesh
+    ranked = some(mesh, 6, 0.05)[0].selectExpr("elem_id", "CAST((elem_id * 37) % 11 AS DOUBLE) AS e2").cache()
+    order = sorted(map(tuple, ranked.collect()), key=lambda r: (-r[1], r[0]))
+    rows = [tuple(r) for r in U.ranked_closure(mesh, ranked).collect()]
+    place = {e: k for k, (e, _) in enumerate(order)}
+    assert all(dict(order)[source] == e2 for _, e2, source in rows) and len(rows) > len(order)
+    for k in (1, len(order) // 2, len(order)):
+        part = spark.createDataFrame(order[:k], "elem_id int, e2 double")
+        assert {r[0] for r in U.closure(mesh, part).collect()} == {e for e, _, source in rows if place[source] < k}
