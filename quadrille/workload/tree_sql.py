@@ -114,3 +114,15 @@ def ripple(grid: Grid) -> str:
     now = "(SELECT max(pass) + 1 FROM rip)"
     return (f"rip AS (SELECT 0 AS pass, level, {at} FROM leaves UNION ALL (SELECT {now}, {keys} FROM rip ANTI JOIN ({bad}) b USING ({keys}) "
             f"WHERE EXISTS ({bad}) UNION ALL SELECT {now}, CAST(b.level + 1 AS INT), {kids} FROM ({bad}) b, {factors}))")
+
+
+def measured(p: Points, sums: str, rule: str) -> str:
+    """``WITH`` clause ending in ``leaves``: cells split from the root down while ``rule`` over ``sums`` of their points holds."""
+    g = p.grid
+    keys, up = _xyz(g, "{a}"), _xyz(g, f"{{a}} >> ({g.max_level} - level) AS {{a}}")
+    below = " AND ".join(f"c.{a} >> 1 = s.{a}" for a in g.axes)
+    return (f"WITH RECURSIVE pts AS ({p.duck}), levels AS (SELECT CAST(range AS INT) AS level FROM range({g.max_level})), "
+            f"ms AS MATERIALIZED (SELECT level, {up}, {sums} FROM pts, levels GROUP BY level, {', '.join(str(i + 2) for i in range(g.dim))}), "
+            f"ok AS MATERIALIZED (SELECT level, {keys} FROM ms WHERE {rule}), "
+            f"split0 AS (SELECT level, {keys} FROM ok WHERE level = 0 UNION ALL SELECT c.level, {_xyz(g, 'c.{a}')} FROM split0 s JOIN ok c "
+            f"ON c.level = s.level + 1 AND {below}), " + leaves(g, "split0", "leaves"))

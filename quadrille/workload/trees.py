@@ -12,6 +12,7 @@ from quadrille.operators import locate as L
 from quadrille.operators import oracles as O
 from quadrille.operators import partitions as X
 from quadrille.operators import tree as T
+from quadrille.operators.points import tree_of_measures
 from quadrille.operators.verify import verify_report
 from quadrille.plans.prefix import row_index, running_sum
 from quadrille.plans.staging import new_path, stage
@@ -255,6 +256,24 @@ def balance_histogram_lines(spark, sf):
     return T.level_histogram(B.balance(LINES.tree(spark, sf), G2))
 
 
+# --- trees that follow sums of a table's values -----------------------------------
+
+
+def _measures(name: str, p: Points, rule: str) -> None:
+    # The signed sum may be small where that of a part is large, so cells below one that does not split must not.
+    signed = "w * 7919 % 2001 - 1000"
+
+    @query(f"refine_measure_{name}", S.measured(p, f"sum({signed}) AS total, max(w) AS top, count(*) AS n", rule) + LEAVES)
+    def measured(spark, sf):
+        measures = {"total": ("sum", signed), "top": ("max", "w"), "n": ("sum", "1")}
+        return tree_of_measures(p.load(spark, sf), p.grid, measures, rule)
+
+
+_measures("2d", EVENTS, "n > 2 AND abs(total) + top % 7 > 40 * level")
+_measures("3d", VECTORS, "n > 1 AND (abs(total) > 300 OR top % 5 = 0)")
+_measures("lines", LINES, "n > 8 AND abs(total) > 500")
+
+
 # --- joins between cells --------------------------------------------------------
 
 
