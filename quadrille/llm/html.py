@@ -1,21 +1,25 @@
 """Main text of web pages by tree scoring.
 
 A tolerant one-pass parser builds the element tree and the page's blocks (text between block-level tags, inline markup
-left out).  Elements that are never part of an article, by their tag, role, or the words of their class and id, are set
-aside with all they hold.  Every other block gives points for itself, its commas and its length to its container, half
+left out).  Elements that are never part of an article, by their tag or role, are set aside with all they hold.  So are those
+named as such by the words of their class and id, unless what is left makes no article while one of them does: then names do
+not count (but those of comments).  Every other block gives points for itself, its commas and its length to its container, half
 of them to the one above, and less to each further one; a container's points are discounted by its share of link text.
 The container with the most points wins (the article or main element around it, if there is one); siblings with enough
-points and substantial paragraphs beside it are kept too.  Blocks made of links inside lists are left out as menus.
+points and substantial paragraphs beside it are kept too.  Tables of links are left out as menus, and so are the linked items of
+lists of which half is links.
 
 A null, empty or textless page gives an empty text.  Pages without any scoring container fall back to all blocks that
 were not set aside.  Unclosed and truncated markup is read as browsers do: an open tag at the end is dropped, an open
-script or comment runs to the end.  Repeated rows give repeated results.
+script or comment runs to the end.  End tags that match nothing cost nothing, however deep the tree is.  Repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,49 +59,58 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl
 _CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "head", "body"}
 
 
-def set_aside(tag: str, attrs: str) -> bool:
+#: An element is part of the page, only named as something else, named as comments, or set aside for good.
+PART, NAMED, COMMENTED, APART = range(4)
+#: Code points of an article below which a named element may be the article, and how many times as many that one has to have.
+SHORT, TIMES = 150, 3
+
+
+def set_aside(tag: str, attrs: str) -> int:
     """Whether an element is no part of an article, by itself."""
     if tag in ASIDE:
-        return True
+        return APART
     if not attrs or attrs in (">", "/>"):
-        return False
+        return PART
     words: list[str] = []
     for name, value in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
             words += [w.lower() for w in _NAME_WORD.findall(value)]
         elif name == "role" and value.strip().lower() in ROLES:
-            return True
+            return APART
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return APART
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return APART
     if tag in ("html", "body", "main", "article") and not COMMENTS & set(words):
-        return False
+        return PART
     found = UNWANTED & set(words)
     if not found:
-        return False
+        return PART
     if words[0] in ("has", "with", "no", "without") or (WANTED & set(words) and not found & COMMENTS and not found & {"ad", "ads", "related"}):
-        return False
-    return True
+        return PART
+    return COMMENTED if found & COMMENTS else NAMED
 
 
 class Page:
-    """Elements (parent, tag, whether set aside) in page order, and the blocks of text that lie in them."""
+    """Elements (parent, tag, how far set aside) in page order, and the blocks of text that lie in them."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.aside = [-1], ["#root"], [False]
+        self.parent, self.tag, self.aside = [-1], ["#root"], [PART]
+        self._open: Counter[str] = Counter()  # open elements by tag
+        self._holders = [0]  # open block elements, and per one that ends the reach of inline end tags what is open in it
+        self._within: list[Counter[str]] = [Counter()]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._parts: list[str] = []
         self._linked, self._owner = 0, 0
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, links, at, low = [0], 0, 0, None
+        stack, links, at = [0], 0, 0
         match = _MARKUP.search(source, at)
         while True:
             piece = source[at:match.start()] if match else source[at:]
-            if piece and not self.aside[stack[-1]]:
+            if piece and self.aside[stack[-1]] != APART:
                 self._parts.append(piece)
                 if links:
                     self._linked += len(piece.strip())
@@ -110,21 +123,20 @@ class Page:
                 if attrs.endswith(">"):
                     if tag in BLOCK:
                         self._end_block()
-                        self._close_implied(tag, stack)
+                        links -= self._close_implied(tag, stack)
                     if tag == "br":
                         self._parts.append(" ")
                     if tag not in VOID:
                         self.parent.append(stack[-1])
                         self.tag.append(tag)
-                        self.aside.append(self.aside[stack[-1]] or set_aside(tag, attrs))
+                        self.aside.append(max(self.aside[stack[-1]], set_aside(tag, attrs)))
                         here = len(self.tag) - 1
                         if tag in RAW:
-                            low = low if low is not None else source.lower()
-                            end = low.find(f"</{tag}", at)
-                            close = source.find(">", end) if end >= 0 else -1
+                            end = re.compile(f"</{tag}", re.I | re.A).search(source, at)
+                            close = source.find(">", end.start()) if end else -1
                             at = len(source) if close < 0 else close + 1
                         elif not (attrs.endswith("/>") and tag not in BLOCK and tag not in ("a", "b", "i", "span", "em", "strong")):
-                            stack.append(here)
+                            self._push(here, stack)
                             links += tag == "a"
                             if tag in BLOCK:
                                 self._owner = here
@@ -134,43 +146,62 @@ class Page:
                     self._end_block()
                 if tag != "br" and tag not in VOID:
                     links -= self._close(tag, stack)
-                    self._owner = self._container(stack)
+                    self._owner = self._holders[-1]
             match = _MARKUP.search(source, at)
         self._end_block()
 
-    def _container(self, stack: list[int]) -> int:
-        for k in reversed(stack):
-            if self.tag[k] in BLOCK or k == 0:
-                return k
-        return 0
+    def _push(self, element: int, stack: list[int]) -> None:
+        tag = self.tag[element]
+        stack.append(element)
+        self._open[tag] += 1
+        if tag in BLOCK:
+            self._holders.append(element)
+        if tag in BLOCK and tag != "p":
+            self._within.append(Counter())
+        else:
+            self._within[-1][tag] += 1
+
+    def _pop(self, depth: int, stack: list[int]) -> int:
+        """Closes everything from ``depth`` on; how many links that ends."""
+        ended = 0
+        while len(stack) > depth:
+            tag = self.tag[stack.pop()]
+            self._open[tag] -= 1
+            ended += tag == "a"
+            if tag in BLOCK:
+                self._holders.pop()
+            if tag in BLOCK and tag != "p":
+                self._within.pop()
+            else:
+                self._within[-1][tag] -= 1
+        return ended
 
     def _close(self, tag: str, stack: list[int]) -> int:
-        """Closes the innermost open element of that name, if there is one; how many links that ends."""
-        edge = tag in BLOCK
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = self.tag[stack[depth]]
-            if open_tag == tag:
-                ended = sum(self.tag[k] == "a" for k in stack[depth:])
-                del stack[depth:]
-                return ended
-            if not edge and open_tag in BLOCK and open_tag != "p":
-                return 0  # an inline end tag does not reach out of its container
-        return 0
-
-    def _close_implied(self, tag: str, stack: list[int]) -> None:
+        """Closes the innermost open element of that name, if there is one; how many links that ends.  An inline end tag does
+        not reach out of its container."""
+        if not (self._open if tag in BLOCK else self._within[-1])[tag]:
+            return 0
+        depth = len(stack) - 1
+        while self.tag[stack[depth]] != tag:
+            depth -= 1
+        return self._pop(depth, stack)
+
+    def _close_implied(self, tag: str, stack: list[int]) -> int:
         names, bounds = CLOSES.get(tag, ((), ()))
         if tag in _CLOSES_P:
             names, bounds = {"p"} | ({"h1", "h2", "h3", "h4", "h5", "h6"} if re.fullmatch("h[1-6]", tag) else set()), \
                 BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-        if names:
+        ended = 0
+        if any(self._open[n] for n in names):
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = self.tag[stack[depth]]
                 if open_tag in names:
-                    del stack[depth:]
+                    ended = self._pop(depth, stack)
                     break
                 if open_tag in bounds:
                     break
-        self._owner = self._container(stack)
+        self._owner = self._holders[-1]
+        return ended
 
     def _end_block(self) -> None:
         if self._parts:
@@ -182,11 +213,23 @@ class Page:
 
 
 def main_blocks(page: Page) -> list[str]:
-    """The article's blocks in page order."""
+    """The article's blocks in page order: without named elements if that makes an article, else with them."""
+    strict = _article(page, NAMED)
+    size = sum(map(len, strict))
+    if size < SHORT and any(page.aside[node] == NAMED for node, _, _ in page.blocks):
+        named = _article(page, COMMENTED)
+        if sum(map(len, named)) > SHORT + TIMES * size and max(map(len, named)) > SHORT / 2:
+            return named
+    return strict
+
+
+def _article(page: Page, left_out: int) -> list[str]:
+    """The best container's blocks, among those set aside less than ``left_out``."""
     n = len(page.tag)
+    blocks = [b for b in page.blocks if page.aside[b[0]] < left_out]
     points, size, linked = [0.0] * n, [0] * n, [0] * n
     scored: set[int] = set()
-    for node, text, inside in page.blocks:
+    for node, text, inside in blocks:
         size[node] += len(text)
         linked[node] += inside
         worth = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - inside / len(text))
@@ -203,25 +246,33 @@ def main_blocks(page: Page) -> list[str]:
         size[page.parent[node]] += size[node]
         linked[page.parent[node]] += linked[node]
     value = {k: (points[k] + LIKELY.get(page.tag[k], 0.0)) * (1 - linked[k] / max(size[k], 1))
-             for k in scored if page.tag[k] not in ("#root", "html") and not page.aside[k]}
-    menus = [linked[k] * 2 > size[k] for k in range(n)]
-
-    def wanted(node: int) -> bool:
-        return not (menus[node] and page.tag[node] in ("li", "ul", "ol", "dl", "dd", "td", "tr", "table"))
+             for k in scored if page.tag[k] not in ("#root", "html") and page.aside[k] < left_out}
+    # Menus: tables of links, whole, and in lists of which half is links, the items that are.
+    menus = [False] * n
+    for node in range(1, n):
+        tag, above = page.tag[node], menus[page.parent[node]]
+        if tag == "table":
+            menus[node] = linked[node] * 10 > size[node] * 9
+        elif tag in ("ul", "ol", "dl"):
+            menus[node] = linked[node] * 2 >= size[node] > 0
+        elif tag in ("li", "dd", "dt"):
+            menus[node] = above and linked[node] * 2 > size[node]
+        elif tag in ("tr", "tbody", "thead", "tfoot", "td", "th", "p", "div"):
+            menus[node] = above
 
     if not value:
-        return [t for node, t, inside in page.blocks if inside * 2 <= len(t)]
+        return [t for node, t, inside in blocks if inside * 2 <= len(t)]
     best = max(value, key=lambda k: (value[k], -k))
     above = best
     while above > 0:
-        if page.tag[above] in ("article", "main") and not page.aside[above]:
+        if page.tag[above] in ("article", "main") and page.aside[above] < left_out:
             best = above
             break
         above = page.parent[above]
     kept = {best}
     floor = max(10.0, 0.2 * value.get(best, 0.0))
     for node in range(1, n):
-        if page.parent[node] == page.parent[best] and not page.aside[node] and node != best and page.tag[best] != "body":
+        if page.parent[node] == page.parent[best] and page.aside[node] < left_out and node != best and page.tag[best] != "body":
             if value.get(node, 0.0) - LIKELY.get(page.tag[node], 0.0) >= floor:
                 kept.add(node)
             elif page.tag[node] == "p" and size[node] > 80 and linked[node] * 4 < size[node]:
@@ -229,7 +280,7 @@ def main_blocks(page: Page) -> list[str]:
     inside_kept = [False] * n
     for node in range(1, n):
         inside_kept[node] = node in kept or inside_kept[page.parent[node]]
-    return [text for node, text, _ in page.blocks if inside_kept[node] and wanted(node)]
+    return [text for node, text, _ in blocks if inside_kept[node] and not menus[node]]
 
 
 def main_text(source: str | None) -> str:

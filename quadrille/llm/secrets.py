@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -173,9 +175,12 @@ def cutoffs(df: DataFrame, text: str = "text", rate: float = RATE) -> dict[int,
 def all_spans(text: str, cuts: dict[int, int]) -> list[tuple[int, int, str]]:
     """Base spans and the random runs that overlap none of them."""
     spans = base_spans(text)
-    for start, end, size, place in candidates(text):
-        if place < cuts.get(size, 1 << 30) and not any(s < end and start < e for s, e, _ in spans):
-            spans.append((start, end, "random"))
+    starts, reach = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+    found = [(start, end, "random") for start, end, size, place in candidates(text) if place < cuts.get(size, 1 << 30)]
+    for start, end, kind in found:  # runs overlap no other, so the fixed spans that begin before a run's end are all that count
+        before = bisect_left(starts, end)
+        if not (before and reach[before - 1] > start):
+            spans.append((start, end, kind))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -53,3 +54,36 @@ def test_query(spark, sf):
         body = re.search(r"<article>(.*?)(</article>|\Z)", pages[r["page_id"]], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?p>|</?h1>", body)]
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+PARAGRAPH = "<p>" + "This is a long paragraph, with commas, and many words in it, which make it part of an article. " * 3 + "</p>"
+
+
+def test_article_in_a_container_named_otherwise_is_kept():
+    menu = "<nav><a href=x>Home</a> <a href=y>More</a></nav>"
+    for name in ("social-history", "register-guide", "promotion", "share-economy", "notice-board", "related-work"):
+        text = H.main_text(f"<html><body>{menu}<div class='{name}'>{PARAGRAPH * 3}</div></body></html>")
+        assert text.count("\n") == 2 and "Home" not in text, name
+    both = H.main_text(f"<body>{menu}<div>{PARAGRAPH * 3}</div><div class='related'>{PARAGRAPH.replace('long', 'other')}</div></body>")
+    assert "other" not in both and both.count("\n") == 2
+    assert H.main_text(f"<body><p>Short.</p><div class='comments'>{PARAGRAPH * 3}</div></body>").count("paragraph") == 0
+
+
+def test_letters_whose_lower_case_is_longer_before_a_script():
+    text = H.main_text("<body><div>" + PARAGRAPH + "<p>" + "İ" * 40 + "</p><SCRIPT>var x;</Script>" + PARAGRAPH + PARAGRAPH + "</div></body>")
+    assert text.count("paragraph") == 9 and "var" not in text
+
+
+def test_links_in_tables_and_lists_of_an_article_are_kept_and_menus_are_not():
+    rows = "<table><tr><td><a href=x>Ada Lovelace</a></td><td>wrote the first program in 1843</td></tr></table>"
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Menu entry {k}</a></li>" for k in range(8)) + "</ul>"
+    text = H.main_text(f"<body><article>{PARAGRAPH}{rows}{menu}{PARAGRAPH}</article></body>")
+    assert "Ada Lovelace" in text and "1843" in text and "Menu entry" not in text
+
+
+def test_unbalanced_and_deep_markup_takes_linear_time():
+    start = time.process_time()
+    for source in ("<div>" * 50_000 + "</section>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<p>x" * 50_000,
+                   "<div>" * 50_000 + "text" + "</div>" * 50_000, "</p></div></a>" * 50_000):
+        H.main_text(source)
+    assert time.process_time() - start < 30

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from helpers import documents
 from quadrille.llm import secrets as S
@@ -87,3 +88,15 @@ def test_keys_of_every_alphabet_are_found_and_masked(spark):
         masked = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
         assert sum(masked[i] == "see [secret] there" for i in range(len(keys))) >= 0.9 * len(keys), letters
         assert [masked[len(keys) + k] for k in (1, 2, 3)] == [f"see {w} there" for w in words[1:]], letters
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    rng = random.Random(3)
+    key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    parts = [key(40, "0123456789abcdef") if k % 2 else key(30, S.ALPHABETS[3][1]) for k in range(30_000)]
+    text = " ".join(parts)
+    start = time.process_time()
+    spans = S.all_spans(text, {})
+    assert time.process_time() - start < 30
+    fixed = [s for s in spans if s[2] != "random"]
+    assert len(fixed) >= 15_000 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
