@@ -20,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from struct import Struct
 from unicodedata import is_normalized
 
 import numpy as np
@@ -35,11 +36,15 @@ from quadrille.llm.text import CHUNK, LOWER_AZ, SPACED, _cut
 WINDOW, END_ID = 4096, 2
 GROUP_WINDOWS, PIECE = 256, 1024
 #: Words whose ids a worker keeps (about 250 bytes each); beyond it the cache starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS, CACHE_ENDINGS = 1_200_000, 10_000
+#: ASCII punctuation but for the apostrophe, which may begin a word's ending ('s and the like).
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 _ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 #: The letter that stands for a byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Packers of so many little-endian unsigned 32-bit numbers.
+_UNSIGNED = [Struct(f"<{n}I").pack for n in range(33)]
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
@@ -54,6 +59,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.endings: dict[bytes, bytes] = {}
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|")]
         described = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         self.byte_level = "\\p{L}]+" in json.dumps(described).replace("\\\\", "\\") and "ByteLevel" in json.dumps(described)
@@ -82,29 +88,58 @@ class WordTokenizer:
         return [b"".join(parts) for parts in out]
 
     def _look_up(self, waiting: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        """Learns what is new among about CHUNK bytes of words in one call, then looks all of them up."""
-        words = set().union(*[w for _, w in waiting])
-        new = words.difference(self.known)
-        if new:
+        """Looks up about CHUNK bytes of words; what is new among them is learned in one call first."""
+        get = self.known.get
+        found = [list(map(get, piece)) for _, piece in waiting]
+        missing = [k for k, ids in enumerate(found) if None in ids]
+        if missing:
+            new = {w for k in missing for w, ids in zip(waiting[k][1], found[k]) if ids is None}
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-                new = words
+                missing, new = range(len(waiting)), set().union(*[w for _, w in waiting])
             self._learn(list(new))
-        get = self.known.__getitem__
-        for k, piece in waiting:
-            out[k].append(b"".join(map(get, piece)))
+            for k in missing:
+                found[k] = list(map(get, waiting[k][1]))
+        for (k, _), ids in zip(waiting, found):
+            out[k].append(b"".join(ids))
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a run of lower-case Latin letters, None for anything else."""
+        if word.isalpha() and word.islower():  # ASCII letters stand for themselves
+            if word in self.known:
+                return self.known[word]
+            letters = word.decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            if not (text.isalpha() and text == text.lower() and max(text) < "\u0250" and is_normalized("NFC", text)):
+                return None
+            letters = word.decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return _UNSIGNED[len(ids)](*ids) if len(ids) < len(_UNSIGNED) else np.array(ids, "<u4").tobytes()
+
+    def _ending(self, marks: bytes) -> bytes:
+        """Ids of a run of ASCII punctuation; after letters it is a word of its own."""
+        if marks not in self.endings:
+            if len(self.endings) > CACHE_ENDINGS:
+                self.endings.clear()
+            self.endings[marks] = np.array(self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self.endings[marks]
 
     def _learn(self, words: list[bytes]) -> None:
         """Looks words up: runs of lower-case Latin letters straight in the vocabulary, as they are one symbol of its
-        alphabet a byte; others in one call, a marker between them; words that hold a marker's characters one by one."""
+        alphabet a byte, and punctuation after them apart; others in one call, a marker between them; words that hold a marker's characters one by one."""
         rest = []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if self.byte_level and text.isalpha() and text == text.lower() and max(text) < "\u0250" and is_normalized("NFC", text):
-                self.known[word] = np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
-            else:
+        for word in words if self.byte_level else ():
+            ids = self._letters(word)
+            if ids is None:
+                stem = word.rstrip(_PUNCTUATION)
+                if stem != word and b"<|" not in word and (ids := self._letters(stem)) is not None:
+                    ids += self._ending(word[len(stem):])
+            if ids is None:
                 rest.append(word)
-        words = rest
+            else:
+                self.known[word] = ids
+        words = rest if self.byte_level else words
         plain = [w for w in words if b"<|" not in w]
         if plain and self.marker is not None:
             joined = self.marker[0].join([w.decode("utf-8", "replace") for w in plain])
