@@ -12,11 +12,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
-_scopes: list[list[str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())  # each thread has its own
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -39,12 +40,14 @@ def new_path(spark: SparkSession, label: str) -> str:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes what is staged inside once it is left, but for tables staged with ``survives``."""
-    _scopes.append([])
+    mine: list[str] = []
+    outer = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
+        _scopes.reset(outer)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _scopes.pop():
+        for name in mine:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 
@@ -75,7 +78,7 @@ def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None =
     the one around it if it ``survives``."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    scopes = _scopes[:-1] if survives else _scopes
+    scopes = _scopes.get()[:-1] if survives else _scopes.get()
     if scopes:
         scopes[-1].append(path)
     writer = df.write

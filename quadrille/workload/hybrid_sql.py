@@ -206,7 +206,8 @@ def within(dim: int, c: int, error: str, flag: str, theta: float, beta: float, r
         "rr AS (SELECT e, rk FROM se UNION SELECT dst, rk FROM rr JOIN asz ON src = e)",
         "mr AS (SELECT e, min(rk) AS rk FROM rr GROUP BY e)",
         "cg AS (SELECT rk, sum(sum(growth)) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING) AS added FROM mr JOIN ie USING (e) GROUP BY rk)",
-        f"fit AS (SELECT m.e, s.e IS NOT NULL AS chosen FROM mr m LEFT JOIN se s USING (e) WHERE m.rk < coalesce((SELECT min(rk) FROM cg WHERE added > {room}), 1000000000000000))",
+        f"ct AS (SELECT coalesce(min(rk), 1000000000000000) AS cut FROM cg WHERE added > {room})",
+        "fit AS (SELECT m.e, coalesce(s.rk < cut, false) AS chosen FROM ct, mr m LEFT JOIN se s USING (e) WHERE m.rk < cut)",
     ])
 
 

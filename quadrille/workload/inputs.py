@@ -24,13 +24,18 @@ class Points:
     spark: tuple[str, ...]
     duck: str
     capacity: int
-    #: Expression over the table whose maximum, plus one, stands for ``{top}`` in ``spark``.
+    #: Expressions over the table whose maxima, plus one, stand for ``{top}`` and ``{last}`` in ``spark``.
     top: str | None = None
+    last: str | None = None
 
     def rows(self, spark: SparkSession, sf: str) -> DataFrame:
         table = spark.read.parquet(f"{sf}/{self.table}.parquet")
-        top = (table.agg(F.expr(f"max({self.top})")).first()[0] or 0) + 1 if self.top else 0
-        return table.selectExpr(*[e.replace("{top}", f"{top}L") for e in self.spark])
+        asked = {"{" + name + "}": e for name, e in (("top", self.top), ("last", self.last)) if e}
+        most = table.agg(*[F.expr(f"max({e})") for e in asked.values()]).first() if asked else ()
+        columns = list(self.spark)
+        for name, value in zip(asked, most):
+            columns = [e.replace(name, f"{(value or 0) + 1}L") for e in columns]
+        return table.selectExpr(*columns)
 
     def load(self, spark: SparkSession, sf: str) -> DataFrame:
         return encode_points(self.rows(spark, sf), self.grid)
@@ -46,14 +51,16 @@ _MINUTES = ("datediff(CAST(ts AS DATE), DATE'2024-01-01') * 1440L + hour(CAST(ts
             "+ minute(CAST(ts AS TIMESTAMP_NTZ))")
 _LINE = "l_orderkey * 8 + l_linenumber AS pid"
 
-# Users against time: a thin, densely filled strip of a large domain.
+_DUCK_MINUTES = "CAST(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT)"
+
+# Users against time, each scaled down once it outgrows the domain: a thin, densely filled strip.
 EVENTS = Points(
     Grid(2, 16), "events",
-    ("event_id AS pid", "user_id AS x", f"CAST({_MINUTES} AS BIGINT) AS y",
+    ("event_id AS pid", "CAST(user_id AS BIGINT) DIV ({top} DIV 65536 + 1) AS x", f"CAST({_MINUTES} AS BIGINT) DIV ({{last}} DIV 65536 + 1) AS y",
      "CAST(round(value * 100) AS BIGINT) AS w"),
-    "SELECT event_id AS pid, user_id AS x, "
-    "CAST(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS y, "
-    "CAST(round(value * 100) AS BIGINT) AS w FROM events", 4)
+    "SELECT event_id AS pid, user_id // ((SELECT max(user_id) + 1 FROM events) // 65536 + 1) AS x, "
+    f"{_DUCK_MINUTES} // ((SELECT max({_DUCK_MINUTES}) + 1 FROM events) // 65536 + 1) AS y, "
+    "CAST(round(value * 100) AS BIGINT) AS w FROM events", 4, "user_id", _MINUTES)
 
 # Squared prices, scaled by the largest, against order lines: density falls along x.
 LINES = Points(
