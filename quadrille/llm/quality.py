@@ -37,6 +37,18 @@ FUNCTION_WORDS = frozenset("the of and to in a is that for it on as with was be
                            "y del se por con para su es lo como".split())
 
 
+class Kinds(dict):
+    """A letter's kind by its code point: A for capitals, a for other letters, 0 for digits, anything else itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS = Kinds()
+
+
 class Words(dict):
     """What is known of a word: whether it is clean and whether a function word, its letters, capitals and symbols, and its
     hashed features (itself if it is short, its shape, its end)."""
@@ -44,8 +56,8 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple:
         if len(self) > CACHE_WORDS:
             self.clear()
-        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
-        shape = _RUNS.sub(r"\1+", "".join(kinds))
+        kinds = word.translate(_KINDS)
+        shape = _RUNS.sub(r"\1+", kinds)
         features = ((word,) if len(word) <= 4 else ()) + ("s" + shape, "e" + word[-2:])
         capitals = kinds.count("A")
         made = self[word] = ((_CLEAN.fullmatch(word) is not None, word.lower().strip(".,") in FUNCTION_WORDS, capitals + kinds.count("a"),
