@@ -67,7 +67,7 @@ def _within(mesh: Mesh, selected: DataFrame, budget: float) -> tuple[DataFrame,
     Each element of the whole selection's closure belongs to the first selected one that reaches it, so what a prefix adds
     is a running sum over the selection, and both results are filters on the marking order.
     """
-    ranks = stage(ranked_closure(mesh, selected).join(mesh.elements.selectExpr("elem_id", f"CAST({element_growth(mesh.dim)} AS DOUBLE) AS growth"), "elem_id"), "ranks")
+    ranks = stage(ranked_closure(mesh, selected).join(mesh.elements.selectExpr("elem_id", f"CAST({element_growth(mesh.dim)} AS BIGINT) AS growth"), "elem_id"), "ranks")
     sums = stage(ranks.groupBy("source", "e2").agg(F.sum("growth").alias("growth")), "sums")
     bound = prefix(sums, "e2", "source", "growth", lambda cum: cum > budget, inclusive=False)
     return selected.filter(bound.predicate("e2", "elem_id")), ranks.filter(bound.predicate("e2", "source")).select("elem_id")

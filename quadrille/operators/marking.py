@@ -6,6 +6,9 @@ Two rules exist and are kept apart:
                  number, then a per-cycle cap and an element ceiling
 ``scalar_field`` tree leaves: an error cutoff, ties included, with a matching
                  cutoff for coarsening
+
+Squared errors are added exactly, so the marks do not depend on how the rows are
+partitioned.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from quadrille.grid import Grid
 from quadrille.operators.tree import emit_families, families, split_flagged
 from quadrille.plans.selection import crossing, prefix
 from quadrille.plans.staging import stage
+from quadrille.plans.sums import FixedPoint
 
 
 class Status(Enum):
@@ -65,6 +69,14 @@ def _invalid(error: Column) -> Column:
     return error.isNull() | F.isnan(error) | (F.abs(error) == F.lit(math.inf))
 
 
+def _unit(largest: float | None) -> FixedPoint:
+    """Unit for sums of squares of errors up to ``largest``."""
+    square = (largest or 0.0) ** 2 if (largest or 0.0) < 1e154 else math.inf
+    if math.isinf(square):
+        raise ValueError("errors must be below 1e154, as their squares are added")
+    return FixedPoint.below(square)
+
+
 def _reject_repeats(rows: DataFrame, *key: str) -> None:
     """A cell or element given twice would be counted, and later emitted, twice."""
     twice = rows.groupBy(*key).count().filter("count > 1").drop("count").first()
@@ -92,7 +104,7 @@ def mark(indicators: DataFrame, params: Params | None = None) -> Marking:
     stats = indicators.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(_invalid(error) | (nulls > 0), 1).otherwise(0)).alias("bad"),
-        F.sum(error.cast("double") * error.cast("double")).alias("total"),
+        F.max(F.abs(error.cast("double"))).alias("largest"),
         F.sum(is_flagged.cast("int")).alias("flagged"),
         F.sum(candidate.cast("int")).alias("candidates"),
     ).first()
@@ -101,7 +113,8 @@ def mark(indicators: DataFrame, params: Params | None = None) -> Marking:
         raise ValueError("errors must be finite and every element needs its indicators")
     _reject_repeats(indicators, "elem_id")
     e2 = (error.cast("double") * error.cast("double")).alias("e2")
-    growth = (F.col("growth") if "growth" in indicators.columns else F.lit(0)).cast("double")
+    unit = _unit(stats["largest"])
+    growth = (F.col("growth") if "growth" in indicators.columns else F.lit(0)).cast("bigint")
     rows = indicators.select("elem_id", "error", e2, growth.alias("growth"),
                              is_flagged.alias("f"), candidate.alias("c"))
     columns = ["elem_id", "error", "e2"]
@@ -111,11 +124,11 @@ def mark(indicators: DataFrame, params: Params | None = None) -> Marking:
         return Marking(Status.NO_CANDIDATES, all_flagged, none, none, none, n)
     if not stats["candidates"]:
         return Marking(Status.FLOOR_EXHAUSTED, all_flagged, none, none, none, n)
-    candidates = stage(rows.filter("c").select(*columns, "growth", F.lit(1.0).alias("one")),
+    candidates = stage(rows.filter("c").select(*columns, "growth", F.lit(1).alias("one")),
                        "candidates")
-    total = stats["total"]
+    total = unit.total(rows.agg(*unit.sums(F.col("e2"))).first())
     reach = prefix(candidates, "e2", "elem_id", "e2",
-                   lambda cum: total > 0 and cum / total >= p.theta)
+                   lambda cum: total > 0 and cum / total >= p.theta, unit=unit)
     marked = candidates.filter(reach.predicate("e2", "elem_id"))
     n_marked = marked.count()
     selected, n_selected = marked, n_marked
@@ -194,22 +207,24 @@ def scalar_field(errors: DataFrame, grid: Grid, theta_refine: float, theta_coars
     rows = errors.select("code", "level", F.col("error").cast("double").alias("error"))
     e2 = F.col("error") * F.col("error")
     rows = rows.withColumn("e2", e2).withColumn("down", -F.col("error"))
-    bad, total = rows.agg(
+    bad, largest = rows.agg(
         F.sum(F.when(_invalid(F.col("error")) | (F.col("error") < 0) | F.col("code").isNull()
                      | F.col("level").isNull(), 1).otherwise(0)),
-        F.sum("e2")).first()
+        F.max("error")).first()
     if bad:
         raise ValueError("errors must be finite and non-negative, one per leaf")
+    unit = _unit(largest)
+    total = unit.total(rows.agg(*unit.sums(F.col("e2"))).first())
     _reject_repeats(rows, "code", "level")
     refine_cutoff, coarsen_cutoff = math.inf, -math.inf
     if total and theta_refine > 0:
-        at = crossing(rows, "down", "e2", lambda cum: cum >= theta_refine * total)
+        at = crossing(rows, "down", "e2", lambda cum: cum >= theta_refine * total, unit=unit)
         refine_cutoff = -at.key if at else rows.agg(F.min("error")).first()[0]
     if total and theta_coarsen > 0:
-        at = crossing(rows, "error", "e2", lambda cum: cum > theta_coarsen * total)
+        at = crossing(rows, "error", "e2", lambda cum: cum > theta_coarsen * total, unit=unit)
         if at is None:
             coarsen_cutoff = rows.agg(F.max("error")).first()[0]
-        elif at.before + at.key * at.key <= theta_coarsen * total:
+        elif at.before + unit.units(at.key * at.key) <= theta_coarsen * total:
             coarsen_cutoff = at.key
         else:
             lower = rows.filter(F.col("error") < F.lit(at.key)).agg(F.max("error")).first()[0]

@@ -12,7 +12,8 @@ import __spark_entry__ as entry  # noqa: E402
 
 TABLES = ("lineitem", "orders", "events", "part", "embeddings")
 NAMES = ["morton_encode_3d", "neighbour_codes_2d", "balance_2d", "leaf_aggregate_2d", "coarsen_once_2d",
-         "region_leaves_3d", "repartition_physical", "element_measure_3d", "structured_elements_3d"]
+         "region_leaves_3d", "repartition_physical", "element_measure_3d", "structured_elements_3d", "mark_fractional", "exact_sums",
+         "random_subset_0", "random_subset_7"]
 
 
 def rows(columns, values):
