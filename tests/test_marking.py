@@ -98,3 +98,21 @@ def test_an_element_given_twice_is_refused(spark):
     rows = indicators(spark, [1.0, 2.0])
     with pytest.raises(ValueError, match="more than one error"):
         mark(rows.union(rows.limit(1)))
+
+
+def test_mark_marked_goes_on_to_its_whole_target(spark, tmp_path):
+    """Two in five of the squared errors are to be marked, however many elements that takes."""
+    from quadrille.workload.registry import QUERIES
+
+    draw = random.Random(8)
+    rows = [(k, draw.randrange(1, 500), 100.0 * draw.randrange(1, 900)) for k in range(400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    error = {k: price // 100 for k, _, price in rows}
+    fit = [k for k, c, _ in rows if k % 97 and k * 104729 % 10 < 4 and 1 + c % 8 > 3]
+    total, cum, expected = sum(e * e for e in error.values()), 0, []
+    for k in sorted(fit, key=lambda k: (-error[k] ** 2, k)):
+        if expected and cum / total >= 0.4:
+            break
+        expected.append(k)
+        cum += error[k] ** 2
+    assert {r["elem_id"] for r in QUERIES["mark_marked"](spark, str(tmp_path)).collect()} == set(expected)
