@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quadrille import Grid
 from quadrille.operators import locate as L
+from quadrille.operators import partitions as X
 from quadrille.operators import tree as T
 from quadrille.plans import intervals as I
 
@@ -82,3 +83,29 @@ def test_internal_cells_are_the_ancestors(spark):
     assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert T.internal_of(T.root(spark), grid).agg(F.count("*")).first()[0] == 0
+
+
+def test_ghosts_against_brute_force_and_without_broadcasts_of_leaves(spark):
+    from quadrille.functions.morton import last_code
+
+    grid, draw = Grid(2, 5), random.Random(12)
+    cells = [(0, 0)]
+    for _ in range(60):  # split some leaf, most often a deep one
+        code, level = cells.pop(max(draw.randrange(len(cells)) for _ in range(2)))
+        step = 1 << 2 * (grid.max_level - level - 1) if level < grid.max_level else 0
+        cells += [(code + k * step, level + 1) for k in range(4)] if step else [(code, level)]
+    cells.sort()
+    every = spark.createDataFrame(cells, "code long, level int")
+    near = L.neighbour_cells(every, grid).selectExpr("code", "n_code", f"{last_code('n_code', 'level', grid)} AS n_last").collect()
+    ends = {(r[0], r[1]): r[2] for r in every.selectExpr("code", "level", f"{last_code('code', 'level', grid)} AS last").collect()}
+    for owner in ([k * 5 // len(cells) for k in range(len(cells))], [draw.randrange(3) for _ in cells]):  # runs, and no runs
+        own = {cell: part for cell, part in zip(cells, owner)}
+        part_at = {c: own[c, lv] for c, lv in cells}
+        expected = {(part_at[r["code"]], c, lv, own[c, lv]) for r in near for c, lv in cells
+                    if c <= r["n_last"] and ends[c, lv] >= r["n_code"] and own[c, lv] != part_at[r["code"]]}
+        assigned = spark.createDataFrame([(c, lv, own[c, lv]) for c, lv in cells], "code long, level int, part int")
+        found = X.ghost_layer(assigned, grid)
+        assert sorted(map(tuple, found.collect())) == sorted(expected) and expected
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
+    assert plan.count("BroadcastHashJoin") == 1  # the sweep's, with a row for each of its parts
