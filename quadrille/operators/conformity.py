@@ -123,8 +123,9 @@ def coverage(mesh: Mesh, points: DataFrame) -> DataFrame:
     extent = "greatest(" + ", ".join(f"{high[c]} - {low[c]}" for c in axes) + ")"
     sized = placed.selectExpr("*", f"CAST(ceil(log2({extent})) AS INT) AS level")
     cells = sized
-    for c in axes:
-        cells = cells.selectExpr("*", f"explode(sequence(CAST(floor({low[c]} / pow(2, level)) AS BIGINT), CAST(floor({high[c]} / pow(2, level)) AS BIGINT))) AS c{c}")
+    for c in axes:  # a point inside lies below the upper bound, so a cell that begins there holds none
+        first, last = f"CAST(floor({low[c]} / pow(2, level)) AS BIGINT)", f"CAST(ceil({high[c]} / pow(2, level)) AS BIGINT) - 1"
+        cells = cells.selectExpr("*", f"explode(sequence({first}, greatest({first}, {last}))) AS c{c}")
     cells = stage(cells, "cells")
     levels = [r["level"] for r in cells.select("level").distinct().collect()]  # one for each size of element, by powers of two
     asked = points.selectExpr("pid", *[f"CAST({c} AS DOUBLE) AS p{c}" for c in "xyz"])

@@ -164,3 +164,16 @@ def test_ranked_closure_holds_the_closure_of_every_prefix(spark):
     for k in (1, len(order) // 2, len(order)):
         part = spark.createDataFrame(order[:k], "elem_id int, e2 double")
         assert {r[0] for r in U.closure(mesh, part).collect()} == {e for e, _, source in rows if place[source] < k}
+
+
+def test_coverage_files_an_element_under_the_cells_it_has_an_inside_in(spark, monkeypatch):
+    mesh = H.hybrid(spark.createDataFrame([(i, j, 0) for i in range(4) for j in range(4)], "i long, j long, kind int"), 2).staged()
+    seen = {}
+
+    def staged(df, label="stage", **options):
+        seen[label] = df.count()
+        return df
+
+    monkeypatch.setattr(C, "stage", staged)
+    assert {r[1] for r in C.coverage(mesh, points(spark, (8, 8, 0), 50)).collect()} == {1}
+    assert seen["cells"] == 16  # squares that fill their cells
