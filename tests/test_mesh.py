@@ -203,3 +203,32 @@ def test_elements_share_parents_in_pairs():
         assert len({frozenset(p) for p in s.new_nodes}) == len(s.new_nodes)
         assert all(max(nodes) < s.vertices + len(s.new_nodes) for _, nodes in s.child_list())
         assert not any(a == b for a, b in combinations([n for _, n in s.child_list()], 2))
+
+
+def test_rows_had_by_any_element(spark):
+    solid = U.mesh_of(spark, 3, REFERENCE[S.H8] + [(2, 0, 0), (2, 2, 2)], [(S.H8, range(8)), (S.T4, (8, 1, 9, 5)), (S.T4, (8, 1, 2, 9))])
+    asked = [(20, [1, 8]), (21, [0, 8]), (22, [0, 1, 2, 3]), (23, [0, 1, 2, 8]), (24, [3, 4]), (25, [2, 1]), (26, [1, 2, 8, 9])]
+    rows = spark.createDataFrame(asked, "node int, parents array<int>")
+    expected = {(20, 1), (20, 2), (22, 0), (24, 0), (25, 0), (25, 2), (26, 2)}
+    assert set(map(tuple, U.elements_having(rows, solid.elements, ["node"]).collect())) == expected
+    assert sorted((r["node"], r["parents"]) for r in U.had_by_any(rows, solid.elements).collect()) == [a for a in asked if a[0] in {n for n, _ in expected}]
+
+
+def test_adapt_computes_indicators_once(spark):
+    mesh = structured(spark, [6, 6], [7, 7], [0, 0]).staged()
+    read = spark.sparkContext.accumulator(0)
+
+    def given(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b.assign(error=b["elem_id"] % 7 + 1.0, ratio=2.0)[["elem_id", "error", "ratio"]]
+
+    result = adapt(mesh, mesh.elements.select("elem_id").mapInPandas(given, "elem_id int, error double, ratio double"))
+    assert result.status is AdaptStatus.REFINED and read.value == mesh.elements.count()
+
+
+def test_positions_are_dealt_before_they_are_aggregated(spark):
+    mesh = structured(spark, [3, 3, 3], [4, 4, 4], [0, 0, 0]).staged()
+    plan = U.with_positions(mesh.elements, mesh.nodes, 3)._jdf.queryExecution().sparkPlan().toString()
+    top = [line for line in plan.splitlines() if "HashAggregate" in line or "RepartitionByExpression" in line or "Exchange" in line]
+    assert any("REPARTITION_BY_COL" in line for line in top)
