@@ -39,7 +39,8 @@ GROUP_WINDOWS, PIECE = 256, 1024
 CACHE_WORDS, CACHE_ENDINGS = 1_200_000, 10_000
 #: ASCII punctuation but for the apostrophe, which may begin a word's ending ('s and the like).
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
-_ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: A mark that ends a word.  It begins with the mark, so that the search skips from one to the next.
+_ENDING = re.compile(rb"[.,](?=[ \n])(?<=[a-z].)")
 #: The letter that stands for a byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -77,7 +78,7 @@ class WordTokenizer:
         waiting, size = [], 0
         for k, text in enumerate(texts):
             if self.marker is not None and b"<|" not in text:
-                text = _ENDING.sub(rb" \1", text.translate(LOWER_AZ))
+                text = _ENDING.sub(rb" \g<0>", text.translate(LOWER_AZ))
             for _, piece in _cut(text, SPACED):
                 waiting.append((k, piece.split()))
                 size += len(piece)
