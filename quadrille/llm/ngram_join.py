@@ -17,8 +17,8 @@ rows are compared with their pivots, and the links so far are joined to componen
 largest component of a column's rows are multiplied, in blocks of bounded size, with all rows around the same pivot, and
 one link to every other component is kept.  No link between components is lost; links inside one are not needed.
 
-Equal sets are one row from the start.  Sets travel as sorted 64-bit hashes, a table written once; a set's own hash is
-64 bits as well.
+Equal sets are one row from the start.  Sets travel as sorted 64-bit hashes; where some are equal, a table of the distinct
+ones is written, which every round reads.  A set's own hash is 64 bits as well.
 
 Null and empty texts have the empty set and are linked with nothing.  Rows may repeat an id: each row gets its own line,
 and the component's id is the least id in it.  Null ids are kept; they never are a component's id unless it has no other.
@@ -35,15 +35,15 @@ from pyspark.sql import types as T
 from quadrille.llm.common import extend, free_name, query, table
 from quadrille.llm.components import connected
 from quadrille.llm.text import SPACED, column_bytes, hashed_words, mix
-from quadrille.plans.staging import scratch, stage, width
+from quadrille.plans.staging import discard, scratch, shuffles_deleted, small_batches, stage, width
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: A column is frequent if more than HOT prefixes hold it; at most MAX_HOT columns count as frequent; rounds of counting.
 HOT, MAX_HOT, ROUNDS = 64, 1 << 20, 8
 #: Entries of a block of columns, entries a task holds before it passes them on, rows that may be broadcast as ids.
 BLOCK_ENTRIES, FLUSH, MAX_IDS = 1 << 18, 1 << 18, 1 << 22
-#: Bytes of sets or texts that are worked on at once.
-SLICE = 1 << 20
+#: Bytes of sets or texts that are worked on at once, and rows that are read or passed to Python at once.
+SLICE, BATCH_ROWS = 1 << 20, 400
 #: Pairs that are counted exactly in one group, whose sets are in memory together.
 GROUP_PAIRS = 4000
 #: Rows of a block of the product within frequent columns.
@@ -158,16 +158,18 @@ class Join:
     """One run of the join over a written table of sets."""
 
     def __init__(self, sets: DataFrame, numerator: int, denominator: int):
-        self.spark, self.sets = sets.sparkSession, sets
+        self.spark, self.sizes = sets.sparkSession, sets.select("doc_id", "n", "node")
         self.numerator, self.denominator = numerator, denominator
         thin = sets.filter("n > 0").select("tag", "doc_id", "node", "n")
         self.nodes = stage(thin.groupBy("node").agg(F.min("tag").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("rows")), "nodes")
         several = self.nodes.filter("rows > 1").select("node", "rep")
         facts = self.nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("rows") > 1).alias("several"), F.sum("rows").alias("rows")).first()
-        copies = thin.join(self._small(several, facts["several"]), "node").filter("tag <> rep").select("tag")
         self.rows = sets.filter("n > 0").select("tag", "n", "hashes")
-        if facts["several"]:
-            self.rows = self.rows.join(self._small(copies, (facts["rows"] or 0) - facts["nodes"]), "tag", "left_anti")
+        if facts["several"]:  # one row per distinct set is written: every round reads the rows
+            copies = thin.join(self._small(several, facts["several"]), "node").filter("tag <> rep").select("tag")
+            self.rows = stage(self.rows.join(self._small(copies, facts["rows"] - facts["nodes"]), "tag", "left_anti"), "distinct")
+            self.sizes = stage(self.sizes, "sizes")
+            discard(sets)
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         share = 1 - numerator / denominator
         self.blocks = max(width(self.spark), int(total * share) // BLOCK_ENTRIES + 1)
@@ -274,7 +276,7 @@ class Join:
         """(group, tag, hashes) for needs (group, tag); the table of sets is not shuffled unless the needs are many."""
         tags = needs.select("tag").distinct()
         n = tags.count()
-        source = self.sets.select("tag", "hashes")
+        source = self.rows.select("tag", "hashes")
         if n <= MAX_IDS:
             source = source.join(F.broadcast(tags), "tag", "left_semi")
         return source.join(needs, "tag")
@@ -356,7 +358,7 @@ class Join:
                  .select("pivot", "i", "j", "tag", "root", F.lit(False).alias("is_left")))
         needs = stage(left.union(right), "needs")
         tags = needs.select("tag").distinct()
-        source = self.sets.select("tag", "hashes")
+        source = self.rows.select("tag", "hashes")
         if tags.count() <= MAX_IDS:
             source = source.join(F.broadcast(tags), "tag", "left_semi")
         top, low = self.numerator, self.denominator
@@ -408,7 +410,7 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 def _components(df: DataFrame, doc_id: str, text: str, words: int, numerator: int, denominator: int) -> DataFrame:
     """doc_id, node, n_shingles and component_id of every row."""
-    with scratch(df.sparkSession):
+    with scratch(df.sparkSession), shuffles_deleted(df.sparkSession), small_batches(df.sparkSession, BATCH_ROWS):
         sets = set_table(df, doc_id, text, words)
         join = Join(sets, numerator, denominator)
         roots = connected(join.links())
@@ -417,8 +419,7 @@ def _components(df: DataFrame, doc_id: str, text: str, words: int, numerator: in
         lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("members"))
         named = stage(nodes.join(lows, "root").filter("members > 1").select("node", "component_id"), "named")
         named = F.broadcast(named) if named.count() <= MAX_IDS // 2 else named
-        thin = sets.select("doc_id", "n", "node")
-        return stage(thin.join(named, "node", "left").select(
+        return stage(join.sizes.join(named, "node", "left").select(
             "doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components", survives=True)
 
 

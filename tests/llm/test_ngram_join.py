@@ -8,6 +8,7 @@ import pytest
 from helpers import documents, words
 from quadrille.llm import components as C
 from quadrille.llm import ngram_join as J
+from quadrille.plans.staging import scratch
 
 
 class Union(dict):
@@ -108,3 +109,23 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in C.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: union.find(x) for x in union if union.find(x) != x}
     assert C.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_read_written_distinct_sets(spark):
+    rows = corpus(5)
+    with scratch(spark):
+        join = J.Join(J.set_table(documents(spark, rows), "doc_id", "text", 5), 80, 100)
+        assert "Join" not in join.rows._jdf.queryExecution().toString()
+        assert join.rows.count() == join.nodes.count() < sum(bool(words(text)) for _, text in rows)
+        assert join.sizes.count() == len(rows)
+
+
+def test_sets_travel_in_small_batches(spark, monkeypatch):
+    names, seen, connected = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"], [], J.connected
+    before = [spark.conf.get(n) for n in names]
+    monkeypatch.setattr(J, "connected", lambda links: seen.extend(spark.conf.get(n) for n in names) or connected(links))
+    rows = corpus(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(documents(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert set(map(int, seen)) == {J.BATCH_ROWS} and J.BATCH_ROWS <= 1000
+    assert [spark.conf.get(n) for n in names] == before
