@@ -49,6 +49,17 @@ _UNSIGNED = [Struct(f"<{n}I").pack for n in range(33)]
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
+class _Known(dict):
+    """Ids of words; an unknown word gets a hole, one for all its places, to be filled when it is known."""
+
+    def __init__(self):
+        super().__init__()
+        self.holes: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        return self.holes.setdefault(word, bytearray())
+
+
 class WordTokenizer:
     """Ids of texts under a vocabulary that never joins anything across ASCII white space.
 
@@ -59,7 +70,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
         self.endings: dict[bytes, bytes] = {}
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content.startswith("<|")]
         described = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
@@ -89,18 +100,15 @@ class WordTokenizer:
         return [b"".join(parts) for parts in out]
 
     def _look_up(self, waiting: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        """Looks up about CHUNK bytes of words; what is new among them is learned in one call first."""
-        get = self.known.get
-        found = [list(map(get, piece)) for _, piece in waiting]
-        missing = [k for k, ids in enumerate(found) if None in ids]
-        if missing:
-            new = {w for k in missing for w, ids in zip(waiting[k][1], found[k]) if ids is None}
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                missing, new = range(len(waiting)), set().union(*[w for _, w in waiting])
-            self._learn(list(new))
-            for k in missing:
-                found[k] = list(map(get, waiting[k][1]))
+        """Looks up about CHUNK bytes of words, once each; what is new among them leaves holes, filled when it is learned in one go."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        holes = self.known.holes
+        holes.clear()
+        found = [list(map(self.known.__getitem__, piece)) for _, piece in waiting]
+        self._learn(list(holes))
+        for word, hole in holes.items():
+            hole += self.known[word]
         for (k, _), ids in zip(waiting, found):
             out[k].append(b"".join(ids))
 

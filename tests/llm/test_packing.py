@@ -72,3 +72,28 @@ def test_query(spark, sf, tokenizer):
     loads = got.groupby("sequence_id")["length"].sum()
     assert set(got.doc_id) == {r["doc_id"] for r in docs} and loads.max() <= 4096
     assert 4096 * len(loads) <= 1.02 * loads.sum() + 8 * 4096  # at most one part-filled group a task
+
+
+def test_new_words_are_looked_up_once(monkeypatch):
+    tokenizer = P.WordTokenizer(tokenizer_path("word_bpe_49k.json"))
+    looked_up = []
+
+    class Counted(type(tokenizer.known)):
+        def get(self, word):
+            looked_up.append(word)
+            return super().get(word)
+
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    tokenizer.known = Counted()
+    monkeypatch.setattr(P, "CACHE_WORDS", 6)  # the second call starts anew
+    for texts in (["zyxwv qponm, zyxwv 12,000 été zyxwv.", "", "qponm <|endoftext|> qponm's 12,000"], ["zyxwv hgfedc", "zyxwv 12,000"]):
+        del looked_up[:]
+        n = sum(len(t.split()) for t in texts) + 2  # a full stop and a comma are set apart
+        got = tokenizer.ids([t.encode() for t in texts])
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [
+            tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(looked_up) <= n + len(set(looked_up))
+        assert all(type(ids) is bytes for ids in tokenizer.known.values())
