@@ -155,3 +155,47 @@ def test_growing_without_training_text(spark):
     got = {r["doc_id"]: r for r in M.score_by_growing(docs, M.F.lit(False), M.F.lit(True)).collect()}
     assert got[1]["n_tokens"] == 3 and got[1]["n_known"] == 0 and got[1]["score"] == 0 and got[2]["n_tokens"] == 1
     assert M.score_by_growing(docs.limit(0), M.F.lit(True), M.F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_growing_by_several_words_at_once(spark, monkeypatch, gap):
+    """Few exchanges for long contexts, and the scores of growing word by word; none beyond a length at which no context passes."""
+    rng = random.Random(7)
+    common = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    if gap:
+        rows = [(k, f"{'pqrs'[k % 4]} m n {'wxyz'[k % 4]}") for k in range(400)]
+    else:
+        runs = lambda: " ".join(f"{'a ' * m}b{m}" for m in (next(i for i in range(1, 99) if rng.random() < 0.4) for _ in range(9)))
+        rows = [(k, f"{common(9)} u{k} {runs()}") for k in range(400)]
+    docs, train, written = documents(spark, rows), M.F.col("doc_id") % 5 != 0, []
+    staged = M.stage
+    monkeypatch.setattr(M, "stage", lambda df, label="stage", **more: written.append(label) or staged(df, label, **more))
+    made = []
+    for room in (0, 1 << 20):
+        monkeypatch.setattr(M, "ROOM", room)
+        written.clear()
+        made.append(({r["doc_id"]: r.asDict() for r in M.score_by_growing(docs, train, ~train).collect()}, written.count("answers")))
+    (one, many), (several, few) = made
+    assert len(one) == len(several) == len(rows)
+    for k, r in one.items():
+        assert several[k]["score"] == pytest.approx(r["score"], rel=1e-6)
+        assert {n: v for n, v in several[k].items() if n != "score"} == {n: v for n, v in r.items() if n != "score"}
+    assert few == (3 if gap else 2) and many >= (3 if gap else 6)
+
+
+def test_requests_are_small(spark, monkeypatch):
+    """A run asks with numbers of words, packed, and its kept runs hold no hashes of words once these are numbered."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(200))) for k in range(300)]
+    sizes, staged = [], M.stage
+
+    def measured(df, label="stage", **more):
+        made = staged(df, label, **more)
+        if label == "runs":
+            sizes.append(made.select(M.F.sum(M.F.octet_length("words"))).first()[0])
+        return made
+
+    monkeypatch.setattr(M, "stage", measured)
+    train = M.F.col("doc_id") % 5 != 0
+    assert M.score_by_growing(documents(spark, rows), train, ~train).count() == len(rows)
+    assert sizes[0] > 1000 and max(sizes[1:], key=lambda n: n or 0) < 200
