@@ -133,5 +133,5 @@ def coverage(mesh: Mesh, points: DataFrame) -> DataFrame:
         return asked.selectExpr("pid", "CAST(0 AS BIGINT) AS elements")
     probes = asked.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]))).selectExpr(
         "*", *[f"CAST(floor(p{c} / pow(2, level)) AS BIGINT) AS c{c}" for c in axes])
-    found = probes.join(cells, ["level", *[f"c{c}" for c in axes]]).filter(_inside(dim)).groupBy("pid").agg(F.count(F.lit(1)).alias("elements"))
-    return asked.select("pid").join(found, "pid", "left").selectExpr("pid", "coalesce(elements, 0) AS elements")
+    found = probes.join(cells.hint("merge"), ["level", *[f"c{c}" for c in axes]]).filter(_inside(dim)).groupBy("pid").agg(F.count(F.lit(1)).alias("elements"))
+    return asked.select("pid").join(found.hint("merge"), "pid", "left").selectExpr("pid", "coalesce(elements, 0) AS elements")

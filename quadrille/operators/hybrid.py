@@ -103,7 +103,7 @@ def mismatches(boxes: DataFrame) -> DataFrame:
         "i", "j", "k", "axis", "array_contains(cut, axis) AS cut_here")
     high = boxes.selectExpr("i AS hi", "j AS hj", "k AS hk", f"{cut[0]} AS cut", "explode(array(0, 1, 2)) AS axis").selectExpr(
         "hi - IF(axis = 0, 1, 0) AS i", "hj - IF(axis = 1, 1, 0) AS j", "hk - IF(axis = 2, 1, 0) AS k", "axis", "array_contains(cut, axis) AS cut_there")
-    return low.join(high, ["i", "j", "k", "axis"]).filter("cut_here <> cut_there").select("i", "j", "k", "axis")
+    return low.join(high.hint("merge"), ["i", "j", "k", "axis"]).filter("cut_here <> cut_there").select("i", "j", "k", "axis")
 
 
 def hybrid(boxes: DataFrame, dim: int, check: bool = True) -> Mesh:
@@ -130,11 +130,11 @@ def hybrid(boxes: DataFrame, dim: int, check: bool = True) -> Mesh:
     first = points.groupBy("x", "y", "z").agg(F.min(F.struct("cell", "ord")).alias("first")).selectExpr(
         "x", "y", "z", "first.cell AS cell", "first.ord AS ord")
     nodes = stage(dense_ids(first, "cell", ["cell", "ord"], "node_id"), "nodes")
-    ids = points.select("cell", "point", "x", "y", "z").join(nodes.select("x", "y", "z", "node_id"), ["x", "y", "z"]).groupBy("cell").agg(
+    ids = points.select("cell", "point", "x", "y", "z").join(nodes.select("x", "y", "z", "node_id").hint("merge"), ["x", "y", "z"]).groupBy("cell").agg(
         *[F.max(F.when(F.col("point") == p, F.col("node_id"))).alias(f"n{p}") for p in range(9)])  # one row for each box
     local = "array(" + ", ".join(f"n{p}" for p in range(9)) + ")"
     kids = _case({k: "array(" + ", ".join(f"named_struct('shape', {s}, 'con', {_ints(con)})" for s, con in c) + ")" for k, c in contents.items()})
-    elements = numbered.withColumnRenamed("elem_id", "cell").join(ids, "cell").selectExpr(
+    elements = numbered.withColumnRenamed("elem_id", "cell").join(ids.hint("merge"), "cell").selectExpr(
         "before_kids", f"{local} AS local", f"posexplode({kids}) AS (t, c)").selectExpr(
         "CAST(before_kids + t AS INT) AS elem_id", "c.shape AS shape", "transform(c.con, p -> local[p]) AS con")
     nodes = nodes.selectExpr("node_id", *[f"CAST({c} AS DOUBLE) AS {c}" for c in "xyz"])
@@ -144,6 +144,6 @@ def hybrid(boxes: DataFrame, dim: int, check: bool = True) -> Mesh:
 def box_of(mesh: Mesh) -> DataFrame:
     """``elem_id`` and the box each element lies in: the one that holds its lowest coordinates."""
     keys = ["i", "j", "k"][:mesh.dim]
-    corners = mesh.elements.select("elem_id", F.explode("con").alias("node_id")).join(mesh.nodes, "node_id")
+    corners = mesh.elements.select("elem_id", F.explode("con").alias("node_id")).join(mesh.nodes.hint("merge"), "node_id")
     return corners.groupBy("elem_id").agg(*[F.floor(F.min(c) / 2).alias(k) for k, c in zip(keys, "xyz")])
 

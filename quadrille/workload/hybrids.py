@@ -45,7 +45,7 @@ def seed(spark: SparkSession, sf: str, dim: int) -> U.Mesh:
 
 def chosen(spark: SparkSession, sf: str, mesh: U.Mesh, rule: str) -> DataFrame:
     """Elements for which ``rule`` over the number ``e`` and their row's ``val`` holds."""
-    return H.box_of(mesh).join(rows(spark, sf, mesh.dim), ["i", "j"]).withColumn("e", F.col("elem_id")).filter(rule).select("elem_id")
+    return H.box_of(mesh).join(rows(spark, sf, mesh.dim).hint("merge"), ["i", "j"]).withColumn("e", F.col("elem_id")).filter(rule).select("elem_id")
 
 
 def refined(spark: SparkSession, sf: str, dim: int, n: int) -> U.Mesh:
@@ -128,13 +128,13 @@ def broken(spark: SparkSession, sf: str, dim: int) -> U.Mesh:
     mesh = refined(spark, sf, dim, 1)
     values = rows(spark, sf, dim).select("i", "j", "val")
     tall = {2: "true", 3: "z < 8"}[dim]  # positions above the last layer are in no box
-    nodes = mesh.nodes.selectExpr("*", f"IF({tall}, floor(x / 2), NULL) AS i", "floor(y / 2) AS j").join(values, ["i", "j"], "left")
+    nodes = mesh.nodes.selectExpr("*", f"IF({tall}, floor(x / 2), NULL) AS i", "floor(y / 2) AS j").join(values.hint("merge"), ["i", "j"], "left")
     doubled = nodes.filter("(val + node_id) % 40 = 0").selectExpr(f"node_id + {_MORE} AS node_id", "x", "y", "z")
-    boxed = H.box_of(mesh).join(values, ["i", "j"]).select("elem_id", "val").join(mesh.elements, "elem_id")
+    boxed = H.box_of(mesh).join(values.hint("merge"), ["i", "j"]).select("elem_id", "val").join(mesh.elements.hint("merge"), "elem_id")
     turned = boxed.filter("(val + elem_id) % 6 <> 1").selectExpr(
         "elem_id", "shape", "IF(shape IN (0, 4) AND (val + elem_id) % 6 = 0, concat(array(con[1], con[0]), slice(con, 3, size(con) - 2)), con) AS con")
     again = boxed.filter("(val + elem_id) % 6 = 2").selectExpr(f"elem_id + {_MORE} AS elem_id", "shape", "con")
-    hanging = mesh.constraints.join(nodes.select(F.col("node_id").alias("node"), "val"), "node")
+    hanging = mesh.constraints.join(nodes.select(F.col("node_id").alias("node"), "val").hint("merge"), "node")
     changed = hanging.filter("coalesce((val + node) % 5, 9) <> 0").selectExpr(
         "seq", "node", "parents", "IF(coalesce((val + node) % 5, 9) <> 1, weights, transform(weights, (w, n) -> "
         "w + CASE n WHEN 0 THEN 0.125D WHEN 1 THEN -0.125D ELSE 0D END)) AS weights")

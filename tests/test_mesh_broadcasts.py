@@ -6,9 +6,12 @@ import re
 import pytest
 
 from quadrille.operators import adapt as A
+from quadrille.operators import conformity as C
+from quadrille.operators import hybrid as H
 from quadrille.operators import marking as K
 from quadrille.operators import mesh as U
 from quadrille.operators.structured import structured
+from quadrille.workload import hybrids, meshes
 
 #: One row for each bucket or part of a table.
 SMALL = {"_bucket", "_part"}
@@ -23,7 +26,7 @@ def _broadcast(df) -> set[str]:
 def written(monkeypatch):
     """Keys of broadcasts by the label of what was staged."""
     found = {}
-    for module in (A, K, U):
+    for module in (A, C, H, K, U):
         def spy(df, label="stage", *args, given=module.stage, **named):
             found.setdefault(label, set()).update(_broadcast(df) - SMALL)
             return given(df, label, *args, **named)
@@ -52,6 +55,14 @@ def test_cycles_broadcast_nothing_that_grows(spark, written, dim=3):
     assert {k: b for k, v in results.items() if (b := _broadcast(v) - SMALL)} == {}
 
 
+def test_queries_broadcast_nothing_that_grows(spark, sf, written, dim=2):
+    mesh = meshes.seed_mesh(spark, sf, dim)
+    assert not _broadcast(meshes.first_indicators(spark, sf, mesh)) - SMALL
+    broken = hybrids.broken(spark, sf, dim)
+    assert not _broadcast(C.coverage(broken, broken.nodes.selectExpr("node_id AS pid", "x", "y", "z"))) - SMALL
+    assert {k: v for k, v in written.items() if v} == {}
+
+
 def test_an_element_touches_the_constraints_of_its_vertices(spark):
     seed = structured(spark, [4, 4], [5, 5], [0, 0]).staged()
     mesh = U.refine(seed, seed.elements.filter("elem_id IN (3, 17, 18)").select("elem_id")).mesh
